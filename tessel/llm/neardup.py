@@ -8,10 +8,11 @@ and over 0.9994 at 0.8 for T = 8.
 
 Equal sets are one node from the start.  In a bucket every node is compared,
 on full sets, with the bucket's smallest node; linked nodes become components.
-Only buckets that still hold several components go on: pairs of different
-components are compared, and buckets with too many nodes for that are dealt
-anew by further half keys, as far as LEVELS times, before all their pairs are
-compared.  Nothing is capped.
+Only buckets that still hold several components go on: their nodes are
+compared with a few of other components, which leaves little to do, and then
+with all of other components.  Buckets with too many such pairs are dealt anew
+by further half keys, as far as LEVELS times, before all are compared.  Pairs
+whose sizes rule a link out are never made.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessel.llm import wordhash
 from tessel.operators.components import connected_components
@@ -30,8 +31,11 @@ SHINGLE = 5
 PERCENT = 75
 T = 8
 LEVELS = 3
-#: Nodes of a bucket whose pairs are compared at once; more are dealt anew.
-BUCKET = 64
+#: Pairs across components, by node of the bucket, that are compared at once;
+#: buckets with more are dealt anew.
+BUCKET = 512
+#: Nodes of a bucket, in expectation, that the first two rounds compare with the others.
+FEW = 4
 
 _rng = np.random.default_rng(20240502)
 _ODD = _rng.integers(1, 2**63, 4 * T + 2 * T * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,12 +111,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (src, dst) pairs of nodes that are similar enough on their full sets."""
     sizes = sets.select("node", "n")
     pairs = pairs.join(sizes.toDF("src", "n_src"), "src").join(sizes.toDF("dst", "n_dst"), "dst")
-    pairs = pairs.where(100 * F.least("n_src", "n_dst") >= PERCENT * F.greatest("n_src", "n_dst"))
+    pairs = pairs.where(_sizes_fit())
     both = pairs.join(sets.select(F.col("node").alias("src"), F.col("set").alias("s")), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("d")), "dst")
     common = F.size(F.array_intersect("s", "d"))
     return both.where(100 * common >= PERCENT * (F.col("n_src") + F.col("n_dst") - common)).select("src", "dst")
 
 
+def _sizes_fit() -> Column:
+    return 100 * F.least("n_src", "n_dst") >= PERCENT * F.greatest("n_src", "n_dst")
+
+
+def _mixed(level: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with the bucket's
+    count and its ordered pairs across components (cross)."""
+    parts = level.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    state = parts.groupBy("key").agg(F.sum("k").alias("count"), F.count("*").alias("comps"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("comps > 1")
+    return level.join(state.select("key", "count", (F.col("count") * F.col("count") - F.col("squares")).alias("cross")), "key").select("key", "node", "n", "path", "comp", "count", "cross")
+
+
 def _labelled(df: DataFrame, components: DataFrame) -> DataFrame:
     return df.join(components.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
@@ -130,7 +146,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     sig = written(rows.mapInArrow(_signatures, "doc_id long, n long, node long, a array<long>, b array<long>"), "signatures")
     nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("a").alias("a"), F.min("b").alias("b")), "nodes")
-    keys = nodes.select("node", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key"))
+    tables = F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.struct(F.xxhash64(x, y).alias("key"), (T * i + j).alias("table"))))
+    keys = nodes.select("node", F.explode(F.flatten(tables)).alias("k")).select("node", "k.key", "k.table")
     shared = keys.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("pivot")).where("count > 1")
     members = written(keys.join(shared.drop("count"), "key"), "members")
     # Texts of the nodes that share any bucket, read again and shuffled once.
@@ -140,21 +157,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("more").alias("more")), "sets")
     links = written(_confirmed(members.where("node != pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")).distinct(), sets), "links")
     components = connected_components(links)
-    level = members.select("key", "node")
-    for depth in range(LEVELS + 1):
-        level = _labelled(level, components)
-        state = level.groupBy("key").agg(F.count("*").alias("count"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        level = written(level.join(state.select("key", "count"), "key"), "mixed")
+    path = F.array(F.floor(F.col("table") / T).cast("int"), F.pmod("table", F.lit(T)).cast("int"))
+    level = members.join(sets.select("node", "n"), "node").select("key", "node", "n", path.alias("path"))
+    halves = sets.select("node", "more").join(nodes.select("node", "a", "b"), "node").select("node", F.concat(F.array("a", "b"), *[F.array(F.slice("more", d * T + 1, T)) for d in range(LEVELS)]).alias("halves"))
+    # Twice with a few nodes of each bucket, so that most of what belongs together is one component, then with all.
+    rounds = [("few", 0), ("few", 0), *(("all", depth) for depth in range(LEVELS + 1))]
+    for turn, (how, depth) in enumerate(rounds):
+        level = written(_mixed(_labelled(level, components)), "mixed")
         if level.isEmpty():
             break
-        small = level if depth == LEVELS else level.where(F.col("count") <= BUCKET)
-        left, right = small.select("key", F.col("node").alias("src"), F.col("comp").alias("c")), small.select("key", F.col("node").alias("dst"), F.col("comp").alias("d"))
-        pairs = left.join(right, "key").where("src < dst and c != d").select("src", "dst").distinct()
+        if how == "few":
+            here, chosen = level, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("count") / FEW)) == 0
+        else:
+            here, chosen = level if depth == LEVELS else level.where(f"cross <= {2 * BUCKET} * count"), F.lit(True)
+        here = here.withColumn("chosen", chosen).join(halves, "node").select("key", "node", "n", "comp", "halves", "path", "chosen")
+        left, right = here.drop("chosen").toDF("key", "src", "n_src", "c", "l", "path"), here.where("chosen").select("key", "node", "n", "comp", "halves").toDF("key", "dst", "n_dst", "d", "r")
+        once = F.lit(True) if how == "few" else F.col("src") < F.col("dst")
+        # Two nodes share several tables: the first one, in every collection, makes the pair.
+        first = F.lit(True)
+        for k in range(2 + depth if how == "all" else 0):
+            at = F.col("path")[k]
+            equal = F.zip_with(F.slice(F.col("l")[k], 1, at), F.slice(F.col("r")[k], 1, at), lambda x, y: x == y)
+            first = first & ~F.array_contains(equal, True)
+        pairs = left.join(right, (left["key"] == right["key"]) & once & (F.col("c") != F.col("d")) & _sizes_fit() & first)
+        pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         links = links.unionByName(written(_confirmed(pairs, sets), "links"))
         components = connected_components(links)
-        if depth < LEVELS:
-            deeper = level.where(F.col("count") > BUCKET).select("key", "node").join(sets.select("node", F.slice("more", depth * T + 1, T).alias("more")), "node")
-            level = deeper.select("node", F.explode("more").alias("half"), "key").select("node", F.xxhash64("key", "half").alias("key")).distinct()
+        if how == "all" and depth < LEVELS:
+            deeper = level.where(f"cross > {2 * BUCKET} * count").select("key", "node", "path").join(sets.select("node", "n", F.slice("more", depth * T + 1, T).alias("more")), "node")
+            deeper = deeper.select("node", "n", F.posexplode("more").alias("at", "half"), "key", "path")
+            level = deeper.select(F.xxhash64("key", "half").alias("key"), "node", "n", F.array_append("path", F.col("at")).alias("path"))
+        else:
+            level = level.select("key", "node", "n", "path")
     named = _labelled(nodes.select("node", "id"), components)
     ids = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     label = named.join(ids, "comp").select("node", "component_id")

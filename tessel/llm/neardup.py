@@ -12,7 +12,8 @@ Only buckets that still hold several components go on: their nodes are
 compared with a few of other components, which leaves little to do, and then
 with all of other components.  Buckets with too many such pairs are dealt anew
 by further half keys, as far as LEVELS times, before all are compared.  Pairs
-whose sizes rule a link out are never made.  Nothing is capped.
+that sizes rule out, or shingles no other set has, are never made.  Nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -107,18 +108,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(h, at), _lists(more, np.arange(0, (j - i) * T * LEVELS + 1, T * LEVELS))], names=["node", "n", "set", "more"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _common(sets: DataFrame) -> DataFrame:
+    """node, n and common: how many of its shingles any other of the sets has.
+    No intersection is larger than that."""
+    one = sets.select("node", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = one.groupBy("node").agg(F.count("*").alias("alone"))
+    return sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """The (src, dst) pairs of nodes that are similar enough on their full sets."""
-    sizes = sets.select("node", "n")
-    pairs = pairs.join(sizes.toDF("src", "n_src"), "src").join(sizes.toDF("dst", "n_dst"), "dst")
-    pairs = pairs.where(_sizes_fit())
+    pairs = pairs.join(sizes.toDF("src", "n_src", "c_src"), "src").join(sizes.toDF("dst", "n_dst", "c_dst"), "dst")
+    pairs = pairs.where(_fit())
     both = pairs.join(sets.select(F.col("node").alias("src"), F.col("set").alias("s")), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("d")), "dst")
     common = F.size(F.array_intersect("s", "d"))
     return both.where(100 * common >= PERCENT * (F.col("n_src") + F.col("n_dst") - common)).select("src", "dst")
 
 
-def _sizes_fit() -> Column:
-    return 100 * F.least("n_src", "n_dst") >= PERCENT * F.greatest("n_src", "n_dst")
+def _fit() -> Column:
+    """Whether set sizes and shingles in common with any other set allow a link."""
+    most = F.least("c_src", "c_dst")
+    return 100 * most >= PERCENT * (F.col("n_src") + F.col("n_dst") - most)
 
 
 def _mixed(level: DataFrame) -> DataFrame:
@@ -126,7 +136,7 @@ def _mixed(level: DataFrame) -> DataFrame:
     count and its ordered pairs across components (cross)."""
     parts = level.groupBy("key", "comp").agg(F.count("*").alias("k"))
     state = parts.groupBy("key").agg(F.sum("k").alias("count"), F.count("*").alias("comps"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("comps > 1")
-    return level.join(state.select("key", "count", (F.col("count") * F.col("count") - F.col("squares")).alias("cross")), "key").select("key", "node", "n", "path", "comp", "count", "cross")
+    return level.join(state.select("key", "count", (F.col("count") * F.col("count") - F.col("squares")).alias("cross")), "key").select("key", "node", "n", "common", "path", "comp", "count", "cross")
 
 
 def _labelled(df: DataFrame, components: DataFrame) -> DataFrame:
@@ -155,10 +165,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = rows.join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     found = again.mapInArrow(_sets, "node long, n long, set array<long>, more array<long>")
     sets = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("more").alias("more")), "sets")
-    links = written(_confirmed(members.where("node != pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")).distinct(), sets), "links")
+    sizes = written(_common(sets), "sizes")
+    links = written(_confirmed(members.where("node != pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")).distinct(), sets, sizes), "links")
     components = connected_components(links)
     path = F.array(F.floor(F.col("table") / T).cast("int"), F.pmod("table", F.lit(T)).cast("int"))
-    level = members.join(sets.select("node", "n"), "node").select("key", "node", "n", path.alias("path"))
+    level = members.join(sizes.where(f"100 * common >= {PERCENT} * n"), "node").select("key", "node", "n", "common", path.alias("path"))
     halves = sets.select("node", "more").join(nodes.select("node", "a", "b"), "node").select("node", F.concat(F.array("a", "b"), *[F.array(F.slice("more", d * T + 1, T)) for d in range(LEVELS)]).alias("halves"))
     # Twice with a few nodes of each bucket, so that most of what belongs together is one component, then with all.
     rounds = [("few", 0), ("few", 0), *(("all", depth) for depth in range(LEVELS + 1))]
@@ -170,8 +181,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             here, chosen = level, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("count") / FEW)) == 0
         else:
             here, chosen = level if depth == LEVELS else level.where(f"cross <= {2 * BUCKET} * count"), F.lit(True)
-        here = here.withColumn("chosen", chosen).join(halves, "node").select("key", "node", "n", "comp", "halves", "path", "chosen")
-        left, right = here.drop("chosen").toDF("key", "src", "n_src", "c", "l", "path"), here.where("chosen").select("key", "node", "n", "comp", "halves").toDF("key", "dst", "n_dst", "d", "r")
+        here = here.withColumn("chosen", chosen).join(halves, "node").select("key", "node", "n", "common", "comp", "halves", "path", "chosen")
+        left, right = here.drop("chosen").toDF("key", "src", "n_src", "c_src", "c", "l", "path"), here.where("chosen").drop("path", "chosen").toDF("key", "dst", "n_dst", "c_dst", "d", "r")
         once = F.lit(True) if how == "few" else F.col("src") < F.col("dst")
         # Two nodes share several tables: the first one, in every collection, makes the pair.
         first = F.lit(True)
@@ -179,16 +190,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             at = F.col("path")[k]
             equal = F.zip_with(F.slice(F.col("l")[k], 1, at), F.slice(F.col("r")[k], 1, at), lambda x, y: x == y)
             first = first & ~F.array_contains(equal, True)
-        pairs = left.join(right, (left["key"] == right["key"]) & once & (F.col("c") != F.col("d")) & _sizes_fit() & first)
+        pairs = left.join(right, (left["key"] == right["key"]) & once & (F.col("c") != F.col("d")) & _fit() & first)
         pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        links = links.unionByName(written(_confirmed(pairs, sets), "links"))
+        links = links.unionByName(written(_confirmed(pairs, sets, sizes), "links"))
         components = connected_components(links)
         if how == "all" and depth < LEVELS:
-            deeper = level.where(f"cross > {2 * BUCKET} * count").select("key", "node", "path").join(sets.select("node", "n", F.slice("more", depth * T + 1, T).alias("more")), "node")
-            deeper = deeper.select("node", "n", F.posexplode("more").alias("at", "half"), "key", "path")
-            level = deeper.select(F.xxhash64("key", "half").alias("key"), "node", "n", F.array_append("path", F.col("at")).alias("path"))
+            deeper = level.where(f"cross > {2 * BUCKET} * count").select("key", "node", "n", "common", "path").join(sets.select("node", F.slice("more", depth * T + 1, T).alias("more")), "node")
+            deeper = deeper.select("node", "n", "common", F.posexplode("more").alias("at", "half"), "key", "path")
+            level = deeper.select(F.xxhash64("key", "half").alias("key"), "node", "n", "common", F.array_append("path", F.col("at")).alias("path"))
         else:
-            level = level.select("key", "node", "n", "path")
+            level = level.select("key", "node", "n", "common", "path")
     named = _labelled(nodes.select("node", "id"), components)
     ids = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     label = named.join(ids, "comp").select("node", "component_id")

@@ -162,6 +162,6 @@ def evaluate(pairs: DataFrame, xref: DataFrame) -> DataFrame:
 
 
 def confusion(df: DataFrame) -> DataFrame:
-    counts = df.rollup("difficulty").agg(F.count_if("truth and said").alias("tp"), F.count_if("not truth and said").alias("fp"), F.count_if("truth and not said").alias("fn"), F.count_if("not truth and not said").alias("tn"))
+    counts = df.rollup("difficulty").agg(F.count_if(F.expr("truth and said")).alias("tp"), F.count_if(F.expr("not truth and said")).alias("fp"), F.count_if(F.expr("truth and not said")).alias("fn"), F.count_if(F.expr("not truth and not said")).alias("tn"))
     rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
     return counts.select("*", rate("tp", "fp").alias("precision"), rate("tp", "fn").alias("recall"), rate("fp", "tp").alias("false_confidence"))

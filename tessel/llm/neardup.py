@@ -35,6 +35,9 @@ LEVELS = 3
 #: Pairs across components, by node of the bucket, that are compared at once;
 #: buckets with more are dealt anew.
 BUCKET = 512
+#: Bins, by hash, in which a set's shingles are counted to bound intersections.
+BIN_BITS = 7
+BINS = 1 << BIN_BITS
 #: Nodes of a bucket, in expectation, that the first two rounds compare with the others.
 FEW = 4
 
@@ -105,7 +108,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # asked for by mistake of a repeated doc_id: no set, no node
             node = wordhash.mix(np.add.reduceat(wordhash.mix(h ^ _ODD[0]), at[:-1]) + n.astype(np.uint64))
             more = _half_keys(h, at[:-1], 4 * T - 1, T * LEVELS)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(h, at), _lists(more, np.arange(0, (j - i) * T * LEVELS + 1, T * LEVELS))], names=["node", "n", "set", "more"])
+            bins = np.bincount(np.repeat(np.arange(j - i), n) * BINS + (h >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=(j - i) * BINS)
+            bins = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BINS + 1, BINS), pa.int32()), pa.array(bins.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(h, at), _lists(more, np.arange(0, (j - i) * T * LEVELS + 1, T * LEVELS)), bins], names=["node", "n", "set", "more", "bins"])
 
 
 def _common(sets: DataFrame) -> DataFrame:
@@ -131,6 +136,13 @@ def _fit() -> Column:
     return 100 * most >= PERCENT * (F.col("n_src") + F.col("n_dst") - most)
 
 
+def _bins_fit() -> Column:
+    """Whether the shingles by bin allow a link: an intersection has no more in
+    a bin than either set."""
+    most = F.aggregate(F.zip_with("bins_l", "bins_r", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    return 100 * most >= PERCENT * (F.col("n_src") + F.col("n_dst") - most)
+
+
 def _mixed(level: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components, with the bucket's
     count and its ordered pairs across components (cross)."""
@@ -163,14 +175,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Texts of the nodes that share any bucket, read again and shuffled once.
     wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
     again = rows.join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = again.mapInArrow(_sets, "node long, n long, set array<long>, more array<long>")
-    sets = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("more").alias("more")), "sets")
+    found = again.mapInArrow(_sets, "node long, n long, set array<long>, more array<long>, bins array<int>")
+    sets = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("more").alias("more"), F.first("bins").alias("bins")), "sets")
     sizes = written(_common(sets), "sizes")
     links = written(_confirmed(members.where("node != pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")).distinct(), sets, sizes), "links")
     components = connected_components(links)
     path = F.array(F.floor(F.col("table") / T).cast("int"), F.pmod("table", F.lit(T)).cast("int"))
     level = members.join(sizes.where(f"100 * common >= {PERCENT} * n"), "node").select("key", "node", "n", "common", path.alias("path"))
-    halves = sets.select("node", "more").join(nodes.select("node", "a", "b"), "node").select("node", F.concat(F.array("a", "b"), *[F.array(F.slice("more", d * T + 1, T)) for d in range(LEVELS)]).alias("halves"))
+    halves = sets.select("node", "more", "bins").join(nodes.select("node", "a", "b"), "node").select("node", "bins", F.concat(F.array("a", "b"), *[F.array(F.slice("more", d * T + 1, T)) for d in range(LEVELS)]).alias("halves"))
     # Twice with a few nodes of each bucket, so that most of what belongs together is one component, then with all.
     rounds = [("few", 0), ("few", 0), *(("all", depth) for depth in range(LEVELS + 1))]
     for turn, (how, depth) in enumerate(rounds):
@@ -181,8 +193,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             here, chosen = level, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("count") / FEW)) == 0
         else:
             here, chosen = level if depth == LEVELS else level.where(f"cross <= {2 * BUCKET} * count"), F.lit(True)
-        here = here.withColumn("chosen", chosen).join(halves, "node").select("key", "node", "n", "common", "comp", "halves", "path", "chosen")
-        left, right = here.drop("chosen").toDF("key", "src", "n_src", "c_src", "c", "l", "path"), here.where("chosen").drop("path", "chosen").toDF("key", "dst", "n_dst", "c_dst", "d", "r")
+        here = here.withColumn("chosen", chosen).join(halves, "node").select("key", "node", "n", "common", "comp", "halves", "bins", "path", "chosen")
+        left, right = here.drop("chosen").toDF("key", "src", "n_src", "c_src", "c", "l", "bins_l", "path"), here.where("chosen").drop("path", "chosen").toDF("key", "dst", "n_dst", "c_dst", "d", "r", "bins_r")
         once = F.lit(True) if how == "few" else F.col("src") < F.col("dst")
         # Two nodes share several tables: the first one, in every collection, makes the pair.
         first = F.lit(True)
@@ -190,7 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             at = F.col("path")[k]
             equal = F.zip_with(F.slice(F.col("l")[k], 1, at), F.slice(F.col("r")[k], 1, at), lambda x, y: x == y)
             first = first & ~F.array_contains(equal, True)
-        pairs = left.join(right, (left["key"] == right["key"]) & once & (F.col("c") != F.col("d")) & _fit() & first)
+        pairs = left.join(right, (left["key"] == right["key"]) & once & (F.col("c") != F.col("d")) & _fit() & first & _bins_fit())
         pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         links = links.unionByName(written(_confirmed(pairs, sets, sizes), "links"))
         components = connected_components(links)

@@ -36,7 +36,7 @@ LEVELS = 3
 #: buckets with more are dealt anew.
 BUCKET = 512
 #: Bins, by hash, in which a set's shingles are counted to bound intersections.
-BIN_BITS = 7
+BIN_BITS = 6
 BINS = 1 << BIN_BITS
 #: Nodes of a bucket, in expectation, that the first two rounds compare with the others.
 FEW = 4
@@ -140,7 +140,7 @@ def _bins_fit() -> Column:
     """Whether the shingles by bin allow a link: an intersection has no more in
     a bin than either set."""
     most = F.aggregate(F.zip_with("bins_l", "bins_r", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    return 100 * most >= PERCENT * (F.col("n_src") + F.col("n_dst") - most)
+    return (100 + PERCENT) * most >= PERCENT * (F.col("n_src") + F.col("n_dst"))
 
 
 def _mixed(level: DataFrame) -> DataFrame:

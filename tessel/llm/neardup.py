@@ -38,7 +38,7 @@ BUCKET = 512
 #: Bins, by hash, in which a set's shingles are counted to bound intersections.
 BIN_BITS = 6
 BINS = 1 << BIN_BITS
-#: Nodes of a bucket, in expectation, that the first two rounds compare with the others.
+#: Nodes of a bucket, in expectation, that the first round compares with the others.
 FEW = 4
 
 _rng = np.random.default_rng(20240502)
@@ -121,13 +121,11 @@ def _common(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (src, dst) pairs of nodes that are similar enough on their full sets."""
-    pairs = pairs.join(sizes.toDF("src", "n_src", "c_src"), "src").join(sizes.toDF("dst", "n_dst", "c_dst"), "dst")
-    pairs = pairs.where(_fit())
     both = pairs.join(sets.select(F.col("node").alias("src"), F.col("set").alias("s")), "src").join(sets.select(F.col("node").alias("dst"), F.col("set").alias("d")), "dst")
     common = F.size(F.array_intersect("s", "d"))
-    return both.where(100 * common >= PERCENT * (F.col("n_src") + F.col("n_dst") - common)).select("src", "dst")
+    return both.where(100 * common >= PERCENT * (F.size("s") + F.size("d") - common)).select("src", "dst")
 
 
 def _fit() -> Column:
@@ -178,13 +176,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = again.mapInArrow(_sets, "node long, n long, set array<long>, more array<long>, bins array<int>")
     sets = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("more").alias("more"), F.first("bins").alias("bins")), "sets")
     sizes = written(_common(sets), "sizes")
-    links = written(_confirmed(members.where("node != pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")).distinct(), sets, sizes), "links")
+    pairs = members.where("node != pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")).distinct()
+    pairs = pairs.join(sizes.toDF("src", "n_src", "c_src"), "src").join(sizes.toDF("dst", "n_dst", "c_dst"), "dst").where(_fit()).select("src", "dst")
+    links = written(_confirmed(pairs, sets), "links")
     components = connected_components(links)
     path = F.array(F.floor(F.col("table") / T).cast("int"), F.pmod("table", F.lit(T)).cast("int"))
     level = members.join(sizes.where(f"100 * common >= {PERCENT} * n"), "node").select("key", "node", "n", "common", path.alias("path"))
     halves = sets.select("node", "more", "bins").join(nodes.select("node", "a", "b"), "node").select("node", "bins", F.concat(F.array("a", "b"), *[F.array(F.slice("more", d * T + 1, T)) for d in range(LEVELS)]).alias("halves"))
-    # Twice with a few nodes of each bucket, so that most of what belongs together is one component, then with all.
-    rounds = [("few", 0), ("few", 0), *(("all", depth) for depth in range(LEVELS + 1))]
+    # First with a few nodes of each bucket, so that most of what belongs together is one component, then with all.
+    rounds = [("few", 0), *(("all", depth) for depth in range(LEVELS + 1))]
     for turn, (how, depth) in enumerate(rounds):
         level = written(_mixed(_labelled(level, components)), "mixed")
         if level.isEmpty():
@@ -204,8 +204,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             first = first & ~F.array_contains(equal, True)
         pairs = left.join(right, (left["key"] == right["key"]) & once & (F.col("c") != F.col("d")) & _fit() & first & _bins_fit())
         pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        links = links.unionByName(written(_confirmed(pairs, sets, sizes), "links"))
-        components = connected_components(links)
+        more = written(_confirmed(pairs, sets), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            components = connected_components(links)
         if how == "all" and depth < LEVELS:
             deeper = level.where(f"cross > {2 * BUCKET} * count").select("key", "node", "n", "common", "path").join(sets.select("node", F.slice("more", depth * T + 1, T).alias("more")), "node")
             deeper = deeper.select("node", "n", "common", F.posexplode("more").alias("at", "half"), "key", "path")

@@ -103,14 +103,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, h, at in shingle_sets(batch.column("text")):
-            n = np.diff(at)
-            if not (n > 0).all():
-                continue  # asked for by mistake of a repeated doc_id: no set, no node
-            node = wordhash.mix(np.add.reduceat(wordhash.mix(h ^ _ODD[0]), at[:-1]) + n.astype(np.uint64))
-            more = _half_keys(h, at[:-1], 4 * T - 1, T * LEVELS)
-            bins = np.bincount(np.repeat(np.arange(j - i), n) * BINS + (h >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=(j - i) * BINS)
-            bins = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BINS + 1, BINS), pa.int32()), pa.array(bins.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(h, at), _lists(more, np.arange(0, (j - i) * T * LEVELS + 1, T * LEVELS)), bins], names=["node", "n", "set", "more", "bins"])
+            some = np.diff(at) > 0  # a null or repeated doc_id may stand on a blank text too: no set, no node
+            n, starts = np.diff(at)[some], at[:-1][some]
+            if not len(n):
+                continue
+            node = wordhash.mix(np.add.reduceat(wordhash.mix(h ^ _ODD[0]), starts) + n.astype(np.uint64))
+            more = _half_keys(h, starts, 4 * T - 1, T * LEVELS)
+            bins = np.bincount(np.repeat(np.arange(len(n)), n) * BINS + (h >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=len(n) * BINS)
+            bins = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BINS + 1, BINS), pa.int32()), pa.array(bins.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(h, np.append(starts, len(h))), _lists(more, np.arange(0, len(n) * T * LEVELS + 1, T * LEVELS)), bins], names=["node", "n", "set", "more", "bins"])
 
 
 def _common(sets: DataFrame) -> DataFrame:

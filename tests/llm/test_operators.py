@@ -68,6 +68,15 @@ def test_near_duplicates(spark, docs):
     assert kept.columns == docs.columns and neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_beside_blanks(spark):
+    """Blank rows with null and repeated ids, in one chunk with near copies."""
+    other = LONG.replace("w", "u")
+    texts = [(1, LONG), (2, LONG.replace("w30 ", "x ")), (2, ""), (2, None), (None, other), (None, " "), (None, None), (20, other.replace("u30 ", "x ")), (21, other)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {(1, True, 1), (2, True, 1), (2, False, 2), (None, True, 20), (None, False, None), (20, True, 20), (21, True, 20)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 8))

@@ -2,11 +2,13 @@
 
 Documents become token pieces of at most ``capacity``; what is packed is the
 histogram of piece lengths, at most ``capacity`` counts whatever the corpus,
-so the search runs on the driver over bounded data.  Around the largest length
-left, a depth-first search enumerates undominated fillings, larger lengths
-first; a filling is cut off as soon as its waste bound cannot beat the
-incumbent, which starts as the best-fit filling.  A filling is applied as often
-as the counts allow.  Pieces find their places by their rank in their length.
+so the search runs on the driver over bounded data.  Whole packings come first:
+best fit, least-waste fillings of one bin after the other (NODES steps each),
+and the same with the longest pieces packed apart.  Unless the best of them
+meets the lower bound, branch and bound goes over the undominated fillings of
+the largest length left, for STEPS steps: to its end, and then the packing is
+optimal, where the histogram is small.  Pieces find their places by their rank
+in their length.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ END_ID = 1
 SALTS = 128
 #: Fillings looked at for each bin pattern before the incumbent is taken.
 NODES = 2000
+#: Lengths looked at by the branch and bound over all bins before the incumbent is taken.
+STEPS = 2_000_000
+#: Shares of the pieces that the first splits pack apart are multiples of 1 / SPLITS.
+SPLITS = 16
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -140,7 +146,6 @@ def fill(room: int, counts: np.ndarray, nodes: int = NODES) -> list[int]:
                     used[n] -= 1
                     if done:
                         return True
-            # A filling that starts lower is dominated once its count could not reach the incumbent's sum.
             n = int(largest[n - 1])
         if not tried and left < waste:
             best, waste = chosen[:], left
@@ -150,8 +155,9 @@ def fill(room: int, counts: np.ndarray, nodes: int = NODES) -> list[int]:
     return best
 
 
-def complete_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """[(lengths of one bin, number of such bins)] for a histogram of lengths."""
+def greedy_bins(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[list[int], int]]:
+    """Bins around the largest length left, each filled best (by best fit
+    alone, if ``nodes`` is 0) and applied as often as the counts allow."""
     left = counts.astype(np.int64).copy()
     out: list[tuple[list[int], int]] = []
     top = capacity
@@ -161,7 +167,7 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[li
         if top == 0:
             return out
         left[top] -= 1
-        filling = [top, *fill(capacity - top, left)]
+        filling = [top, *fill(capacity - top, left, nodes)]
         left[top] += 1
         lengths, each = np.unique(filling, return_counts=True)
         times = int((left[lengths] // each).min())
@@ -169,6 +175,110 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[li
         out.append((filling, times))
 
 
+def bins_needed(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound (Martello and Toth's L2, the area among its cases)."""
+    number, area = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    k = np.arange(capacity // 2 + 1)
+    half = number[capacity // 2]
+    large = number[-1] - half  # no two of these in a bin
+    room = (number[capacity - k] - half) * capacity - (area[capacity - k] - area[capacity // 2])
+    small = area[capacity // 2] - np.where(k > 0, area[k - 1], 0)
+    return int(large + np.maximum(0, -(-(small - room) // capacity)).max())
+
+
+class _Spent(Exception):
+    """The steps of the branch and bound are used up."""
+
+
+def _branch(counts: np.ndarray, capacity: int, best: int, steps: int) -> list[list[int]] | None:
+    """Bins of an optimal packing if it has less than ``best`` bins; the best
+    one found, or None, once ``steps`` lengths were looked at."""
+    left = counts.astype(np.int64).copy()
+    least = bins_needed(left, capacity)
+    found: list[list[int]] | None = None
+
+    def fillings(room: int) -> list[list[int]]:
+        """Undominated: no length left that could take the place of some of
+        the filling's lengths, or of none, would fill the bin better."""
+        nonlocal steps
+        have = [int(n) for n in np.flatnonzero(left[: room + 1])[::-1] if n]
+        out: list[tuple[int, list[int]]] = []
+        stack: list[tuple[int, int, list[int]]] = [(0, room, [])]
+        while stack:
+            at, rest, chosen = stack.pop()
+            steps -= 1
+            if steps < 0:
+                raise _Spent
+            if at == len(have) or rest < have[-1]:
+                steps -= len(have)
+                sums = 1
+                for n in chosen:
+                    sums |= sums << n
+                if not any(left[n] > chosen.count(n) and sums >> max(n - rest, 0) & (1 << min(n, rest)) - 1 for n in have):
+                    out.append((rest, chosen))
+                continue
+            for k in range(min(int(left[have[at]]), rest // have[at]) + 1):
+                stack.append((at + 1, rest - k * have[at], chosen + [have[at]] * k))
+        return [chosen for _, chosen in sorted(out, key=lambda x: x[0])]
+
+    def branches() -> list[list[int]]:
+        top = int(np.flatnonzero(left)[-1])
+        left[top] -= 1
+        try:
+            return [[top, *chosen] for chosen in fillings(capacity - top)]
+        finally:
+            left[top] += 1
+
+    bins: list[list[int]] = []
+    try:
+        todo = [iter(branches())] if left.any() and least < best else []
+        while todo:
+            if len(bins) == len(todo):  # back from the branch below
+                np.add.at(left, bins.pop(), 1)
+            filling = next(todo[-1], None)
+            if filling is None or best == least:
+                todo.pop()
+                continue
+            bins.append(filling)
+            np.subtract.at(left, filling, 1)
+            if not left.any():
+                if len(bins) < best:
+                    best, found = len(bins), [*bins]
+            elif len(bins) + bins_needed(left, capacity) < best:
+                todo.append(iter(branches()))
+    except _Spent:
+        pass
+    return found
+
+
+def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[list[int], int]]:
+    """[(lengths of one bin, number of such bins)] for a histogram of lengths."""
+    size = lambda bins: sum(times for _, times in bins)
+    counts = counts.astype(np.int64)
+    least = bins_needed(counts, capacity)
+    best = greedy_bins(counts, capacity)
+    if size(best) > least:
+        best = min(best, greedy_bins(counts, capacity, 0), key=size)
+
+    def apart(share: float) -> list[tuple[list[int], int]]:
+        """Pieces beyond the smallest ``share`` share no bin with the others."""
+        low = np.clip(int(share * counts.sum()) - (np.cumsum(counts) - counts), 0, counts)
+        return greedy_bins(counts - low, capacity) + greedy_bins(low, capacity)
+
+    step, middle = 1 / SPLITS, 0.5
+    tried = [k / SPLITS for k in range(1, SPLITS)]
+    while tried and size(best) > least:
+        sizes = [(size(bins), share, bins) for share in tried for bins in [apart(share)]]
+        said, middle, bins = min(sizes, key=lambda x: x[0])
+        if said < size(best):
+            best = bins
+        step /= 2
+        tried = [middle - step, middle + step] if step > 0.004 else []
+    if size(best) > least and (found := _branch(counts, capacity, size(best), steps)):
+        return [(filling, 1) for filling in found]
+    return best
+
+
 def _segments(bins: list[tuple[list[int], int]]) -> np.ndarray:
     """Rows (length << 40 | first rank, first sequence, copies in a bin, offset)."""
     ranks: dict[int, int] = {}

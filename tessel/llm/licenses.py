@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
 Whole texts are cut into sentences, sentences are normalised (lower case,
-letters and digits only) and looked up among known licence sentences.  The
+letters and digits only) and looked up among known licence sentences.  A known
+sentence may be wrapped over any number of lines, comment marks before them.  The
 identifiers found, in order, are matched against ordered rules: a rule matches
 where its identifiers follow each other with at most MAX_GAP other sentences
 between neighbours.  Rules of a full text come before rules of a short notice.
@@ -95,16 +96,26 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     table = known()
     parts = F.filter(sentences(F.col("text")), lambda s: s.rlike("[A-Za-z0-9]"))
-    # Only pieces with a word that every licence sentence has are normalised further.
-    likely = lambda s: F.lower(s).rlike("licen|permi|permission|software|warrant|copyright|redistribut|useful|rights|apache|public domain")
-    at = F.filter(F.transform("parts", lambda s, i: F.when(likely(s), F.struct(i.cast("int").alias("at"), F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")).alias("id")))), lambda x: x.isNotNull() & x["id"].isin(*table))
+    # Only texts with a word that every licence sentence has are normalised further.
+    likely = F.lower("text").rlike("licen|permi|permission|software|warrant|copyright|redistribut|useful|rights|apache|public domain")
+    # Pieces as lines "<number>words"; a known sentence is one piece or several that follow each other.
+    numbered = F.transform("parts", lambda s, i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"), F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
+    lines = F.when(likely, F.concat(F.lit("\n"), F.array_join(numbered, "\n"), F.lit("\n")))
+    # Shortest first, so that sentences known on their own are found on their own.
+    whole = "|".join(norm.replace(" ", r"(?: |\n<\d+>(?:rem |dnl )?)") for norm in sorted(table, key=len))
+    matches = F.coalesce(F.regexp_extract_all("lines", F.lit(rf"<\d+>(?:rem |dnl )?(?:{whole})(?=\n)"), 0), F.array().cast("array<string>"))
+    number = lambda m, pattern: F.regexp_extract(m, pattern, 1).cast("int")
+    plain = lambda m: F.regexp_replace(F.regexp_replace(m, r"^<\d+>(?:rem |dnl )?", ""), r"\n<\d+>(?:rem |dnl )?", " ")
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    rows = docs.select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").cast("long").alias("n_sentences"), at.alias("at"))
-    found = F.transform("at", lambda x: F.struct(x["at"].alias("at"), names[x["id"]].alias("id")))
-    rows = rows.select("doc_id", "n_sentences", F.when(F.size("at") > 0, found).otherwise(F.array().cast("array<struct<at:int,id:string>>")).alias("found"))
+    rows = docs.select("doc_id", "text", parts.alias("parts")).select("doc_id", F.size("parts").cast("long").alias("n_sentences"), lines.alias("lines"))
+    rows = rows.select("doc_id", "n_sentences", matches.alias("matches"))
+    spans = F.transform("matches", lambda m: F.struct(number(m, r"^<(\d+)>").alias("at"), number(m, r"(?s).*<(\d+)>").alias("end"), names[plain(m)].alias("id")))
+    rows = rows.select("doc_id", "n_sentences", spans.alias("spans"))
+    found = F.transform("spans", lambda x: F.struct(x["at"].alias("at"), x["id"].alias("id")))
+    rows = rows.select("doc_id", "n_sentences", "spans", found.alias("found"))
     # One string of identifiers; neighbours too far apart have "|" between them.
     start = F.struct(F.lit(-1000000).alias("at"), F.lit(">").alias("s"))
-    step = lambda acc, x: F.struct(x["at"].alias("at"), F.concat(acc["s"], F.when(x["at"] - acc["at"] > MAX_GAP + 1, F.lit("|>")).otherwise(F.lit("")), x["id"], F.lit(">")).alias("s"))
-    text = F.aggregate("found", start, step, lambda acc: acc["s"])
+    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["s"], F.when(x["at"] - acc["at"] > MAX_GAP + 1, F.lit("|>")).otherwise(F.lit("")), x["id"], F.lit(">")).alias("s"))
+    text = F.aggregate("spans", start, step, lambda acc: acc["s"])
     hits = F.array_compact(F.array(*[F.when(F.col("_ids").contains(">" + ">".join(ids) + ">"), F.struct(F.lit(name).alias("license"), F.lit(use).alias("use"))) for name, use, ids in RULES]))
     return rows.withColumn("_ids", text).select("doc_id", "n_sentences", "found", F.array_distinct(hits).alias("licenses"))

@@ -192,6 +192,18 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: [], 3: ["MIT", "CC-BY-NC-4.0"], 4: [], 5: []}
 
 
+def test_wrapped_licenses(spark):
+    """The usual forms: texts wrapped over lines, with comment marks."""
+    import textwrap
+
+    said = lambda *ids: ["Copyright (c) 2020 A. Author", *(next(s for name, s in licenses.SENTENCES if name == i) for i in ids)]
+    wrapped = lambda mark, width, *ids: "\n".join(mark + line for s in said(*ids) for line in [*textwrap.wrap(s, width, break_long_words=False), ""])
+    mit, gpl, bsd = ("mit-grant", "mit-condition", "as-is"), ("gpl-free", "gpl-hope"), ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")
+    texts = [(1, wrapped("", 70, *mit)), (2, wrapped("# ", 60, *gpl)), (3, wrapped(" * ", 40, *bsd)), (4, wrapped("// ", 12, *mit)), (5, wrapped("dnl ", 60, *gpl)), (6, "\n".join(said(*mit)[1].split())), (7, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.")]
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: ["MIT"], 2: ["GPL-3.0-or-later"], 3: ["BSD-3-Clause", "BSD-2-Clause"], 4: ["MIT"], 5: ["GPL-3.0-or-later"], 6: [], 7: ["MPL-2.0"]}
+
+
 @pytest.mark.parametrize("operator, label, least", [(quality.quality, "quality", 0.95), (toxicity.toxicity, "toxic", 0.95)])
 def test_held_out_accuracy(spark, operator, label, least):
     read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")

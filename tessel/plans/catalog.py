@@ -82,7 +82,7 @@ def schema_drift_report(spark, d):
 
 @query("SELECT doc_id, nullif(trim(lower(regexp_replace(regexp_replace(strip_accents(left(text, 200)), '[.,]+', ' ', 'g'), '\\s+', ' ', 'g'))), '') AS name FROM documents")
 def normalize_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", t.normalized_name(F.substring("text", 1, 200)).alias("name"))
+    return table(spark, d, "documents").select("doc_id", t.normalized_name(F.col("text")).alias("name"))
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(upper(p_name), ' ') AS w FROM part)

@@ -96,3 +96,19 @@ def test_parity(spark):
     for name in QUERIES:
         said = compare(spark, "/root/testdata/sf0.001", name)
         assert not said.startswith("FAIL"), (name, said)
+
+
+def test_normalize_name_takes_whole_texts(spark):
+    """The registered query against its SQL with whole texts in place of their first 200 characters."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    sql = entry.oracle_sql()["normalize_name"].replace("left(text, 200)", "text")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
+    want = con.execute(sql).fetchall()
+    assert max(len(name or "") for _, name in want) > 200
+    got = [(r["doc_id"], r["name"]) for r in entry.queries()["normalize_name"](spark, d).collect()]
+    assert sorted(got) == sorted(want)

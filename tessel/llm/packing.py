@@ -13,6 +13,8 @@ in their length.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessel.llm.naming import fresh
 from tessel.storage import written
 
 CAPACITY = 4096
@@ -33,44 +36,112 @@ NODES = 2000
 STEPS = 2_000_000
 #: Shares of the pieces that the first splits pack apart are multiples of 1 / SPLITS.
 SPLITS = 16
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 400_000
 
+#: Fixed value: the word pattern of the tokenizers whose words are looked up one by one.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that are cut into words at once; a longer text is cut at a blank.
+CHUNK = 1 << 16
+#: New words that go to the tokenizer as one text.
+ASKED = 200
+
 _LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
 _ODD = re.compile(r"[^\x00-\x1b\x20-\xff]|<\|(?:startoftext|endoftext)\|>")
+_GAP = re.compile(r"[ \t-\r]+")
 
 
 class WordIds(dict):
-    """Ids, as little-endian bytes, of the tokenizer's own words; the tokenizer
-    is asked once per word.  Texts outside Latin-1 go to the tokenizer whole."""
+    """Ids, as little-endian bytes, by word.  What a chunk of texts has of new
+    words goes to the tokenizer as one text, its normalizer and word pattern
+    left out, for the words have been through both.  Runs outside Latin-1 go to
+    the whole tokenizer, blank to blank, and so does every text where the file
+    is of another kind than lower-case BPE with word ends."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _ask(self, text: str) -> bytes:
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and [s.get("pattern") for s in steps] == [{"Regex": WORD_PATTERN}, None] and {"type": "Lowercase"} in (spec["normalizer"] or {}).get("normalizers", [])
+        if self.by_word:
+            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}
+            self.words = Tokenizer.from_str(json.dumps(spec))
+            self.ends = np.zeros(self.words.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.words.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self._ask(word)
-        if len(word) < 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._ask(text)
-        return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
+    def _learn(self, plain: set[str], odd: set[str]) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        for run in (r for r in odd if r not in self):
+            self[run] = self._whole(run)
+        new = [w for w in plain if w not in self]
+        for k in range(0, len(new), ASKED):
+            some = new[k : k + ASKED]
+            ids = np.asarray(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            data, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.update(zip(some, map(data.__getitem__, map(slice, [0, *stops], stops))))
+
+    def _split(self, text: str) -> Iterator[tuple[list[str], set[str]]]:
+        """(words, those of them that the whole tokenizer takes), chunk by chunk."""
+        at = 0
+        while at < len(text):
+            gap = _GAP.search(text, at + CHUNK)
+            part = text[at : gap.start() if gap else len(text)]
+            at = gap.end() if gap else len(text)
+            if not _ODD.search(part):
+                yield _WORD.findall(part.lower()), set()
+                continue
+            words, odd = [], set()
+            for run in _GAP.split(part):
+                if _ODD.search(run):
+                    words.append(run)
+                    odd.add(run)
+                else:
+                    words += _WORD.findall(run.lower())
+            yield words, odd
+
+    def _ids(self, parts: list[tuple[list[str], set[str]]]) -> list[bytes]:
+        odd = set().union(*(o for _, o in parts))
+        self._learn(set().union(*(w for w, _ in parts)) - odd, odd)
+        return [b"".join(map(self.__getitem__, words)) for words, _ in parts]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; short ones together are one chunk."""
+        if not self.by_word:
+            return [self._whole(t) for t in texts]
+        if sum(map(len, texts)) <= CHUNK:
+            return self._ids([next(self._split(t), ([], set())) for t in texts])
+        return [b"".join(ids for part in self._split(t) for ids in self._ids([part])) for t in texts]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
+
+
+def _in_chunks(ids: WordIds, text: pa.Array) -> Iterator[bytes]:
+    held, size = [], 0
+    for value in text:
+        value = value.as_py() or ""
+        if held and size + len(value) > CHUNK:
+            yield from ids.texts(held)
+            held, size = [], 0
+        held.append(value)
+        size += len(value)
+    yield from ids.texts(held)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 [, ids]: every document's ids and
     the end id, cut only where longer than ``capacity``.  A null or empty text
@@ -78,11 +149,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     schema = PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = WordIds(tokenizer_path), np.asarray([END_ID], "<u4").tobytes()
+        ids, end = word_ids(tokenizer_path), np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = ids.text(text.as_py() or "") + end
+            for doc, data in zip(batch.column(0).to_pylist(), _in_chunks(ids, batch.column(1))):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     found = [doc, k, at // 4, len(part) // 4, zlib.crc32(part)]
@@ -297,10 +368,14 @@ def _segments(bins: list[tuple[list[int], int]]) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, piece, length (1 to
     ``capacity``) and ids_crc32.  Rows equal in all of these may trade places.
-    No rows give no rows.  ``pieces`` is read three times: pass a table."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    No rows give no rows.  Other columns, whatever their names, are passed on,
+    but for an earlier sequence_id and offset, which are replaced.  ``pieces``
+    is read three times: pass a table."""
+    pieces = pieces.drop("sequence_id", "offset")
+    salt_name, rank_name = fresh(pieces, "salt", "rank")
+    salted = pieces.withColumn(salt_name, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     table = np.zeros((capacity + 1, SALTS), np.int64)  # bounded: capacity x SALTS counts
-    for n, salt, count in salted.groupBy("length", "_salt").count().collect():
+    for n, salt, count in salted.groupBy("length", salt_name).count().collect():
         table[n, salt] = count
     first = np.cumsum(table, axis=1) - table
     plan = _segments(complete_bins(table.sum(axis=1), capacity))
@@ -311,13 +386,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first, plan = shared.value
         for batch in batches:
             n = np.asarray(batch.column("length").to_numpy(), np.int64)
-            rank = first[n, batch.column("_salt").to_numpy()] + batch.column("_rank").to_numpy() - 1
+            rank = first[n, batch.column(salt_name).to_numpy()] + batch.column(rank_name).to_numpy() - 1
             row = np.searchsorted(plan[:, 0], n << 40 | rank, "right") - 1
             key, sequence, each, at = plan[row].T
             turn = rank - (key & (1 << 40) - 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence + turn // each), pa.array(at + turn % each * n)], names=[*names, "sequence_id", "offset"])
 
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn(rank_name, F.row_number().over(Window.partitionBy("length", salt_name).orderBy("doc_id", "piece", "ids_crc32")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 

@@ -124,6 +124,21 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_token_ids(monkeypatch):
+    """Ids by word are the tokenizer's own, wherever texts are cut."""
+    from tokenizers import Tokenizer
+
+    odd = ["Größe 🙂 x's ’tis <|endoftext|> naïve Σίσυφος ΟΔΟΣ x\x1cy \x85 \xa0 a\u0301 e \u0301 日本語", "", "  ", "don't\tDON'T I'll 12½ ²³ a.b...c", "ÀÉ x\u3000y", "İstanbul ŒUVRE ﬁ", "x" * 300 + " y " * 300]
+    for file in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = queries.tokenizer_path().replace("word_bpe_49k.json", file)
+        tokenizer = Tokenizer.from_file(path)
+        want = [np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+        for chunk in (5, 1 << 16):
+            monkeypatch.setattr(packing, "CHUNK", chunk)
+            known = packing.WordIds(path)
+            assert known.texts(odd) == want == [known.texts([x])[0] for x in odd]
+
+
 def test_fewest_bins():
     """Optimal where small; never above best fit and near the bound where not."""
 

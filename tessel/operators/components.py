@@ -2,22 +2,42 @@
 
 Each round is two grouped minima and two joins over the edge table; the number
 of rounds grows with the logarithm of the longest path, not with its length.
-Minima combine map-side; the joins are plain sort-merge joins, which adaptive
-execution splits where one node has a large share of the edges.
+Minima combine map-side.  Nodes with more than a ten-thousandth of all edge
+ends, of which there can be no more than 10,000, are joined by broadcast, so no
+task gets more rows of one node than that.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessel.storage import written
+from tessel.storage import discard, written
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every hi has one lo and no lo is a hi: each component is a star then."""
+#: Nodes joined by broadcast at most; the share of edge ends that makes a node one is 1 / HOT.
+HOT = 10_000
+#: Edge ends of a node that any task can take.
+FEW = 200
+
+
+def _state(edges: DataFrame) -> tuple[bool, int, int]:
+    """(whether each component is a star: every hi has one lo and no lo is a
+    hi; the edge ends; the most of one node)."""
     ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    per = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return per.agg(F.expr("count_if(up > 1 or (up = 1 and down = 1))")).first()[0] == 0
+    per = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"), F.count("*").alias("n"))
+    bad, size, most = per.agg(F.expr("count_if(up > 1 or (up = 1 and down = 1))"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return bad == 0, size, most
+
+
+def _with_least(rows: DataFrame, key: str, value: str, most: int | None) -> DataFrame:
+    """``rows`` with ``m``, the smallest ``value`` of their ``key``.  Keys on
+    more than ``most`` rows, if that is given, are joined by broadcast."""
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
+    if most is None:
+        return rows.join(least.drop("n"), key)
+    hot = F.broadcast(least.where(F.col("n") > most).drop("n"))  # at most HOT rows, see FEW and HOT
+    cold = rows.join(hot.select(key), key, "left_anti").join(least.where(F.col("n") <= most).drop("n"), key)
+    return cold.unionByName(rows.join(hot, key))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -26,12 +46,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     edges with a null end are ignored.  No edges give no rows."""
     a, b = F.col(src), F.col(dst)
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
-    while not _are_stars(now):
+    while True:
+        done, ends, top = _state(now)
+        if done:
+            break
+        most = max(FEW, ends // HOT)
+        hot = most if top > most else None
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))  # an edge gives one row, so no more than before
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        near = large.join(low, "hi")
-        small = near.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
-        now = written(small, "edges")
+        large = _with_least(both, "u", "v", hot).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))  # an edge gives one row, so no more than before
+        if hot:
+            large = written(large.distinct(), "large")  # it is read four times
+        near = _with_least(large, "hi", "lo", hot)
+        small = near.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(near.select("hi", F.col("m").alias("lo"))).distinct()
+        before, now = now, written(small, "edges")
+        for spent in (before, large) if hot else (before,):
+            discard(spent)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()

@@ -50,6 +50,10 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    # Hubs beyond what one task takes, one behind the other.
+    hubs = [(0, i) for i in range(1, 600)] + [(i, 10000 + i) for i in range(1, 600)] + [(20000, 10000 + i) for i in range(1, 500)] + [(30000, 30001)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(hubs, "src long, dst long")).collect()}
+    assert got == {**{x: 0 for e in hubs for x in e}, 30000: 30000, 30001: 30000}
 
 
 def test_score_boosts(spark):

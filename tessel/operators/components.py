@@ -29,9 +29,16 @@ def _state(edges: DataFrame) -> tuple[bool, int, int]:
     return bad == 0, size, most
 
 
-def _with_least(rows: DataFrame, key: str, value: str, most: int | None) -> DataFrame:
+def most_rows(size: int) -> int:
+    """Rows of one key that a task takes, of ``size`` in all: no more than HOT
+    keys have more."""
+    return max(FEW, size // HOT)
+
+
+def with_least(rows: DataFrame, key: str, value: str, most: int | None) -> DataFrame:
     """``rows`` with ``m``, the smallest ``value`` of their ``key``.  Keys on
-    more than ``most`` rows, if that is given, are joined by broadcast."""
+    more than ``most`` rows, if that is given, are joined by broadcast: pass
+    ``most_rows(rows.count())`` at least."""
     least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
     if most is None:
         return rows.join(least.drop("n"), key)
@@ -50,13 +57,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         done, ends, top = _state(now)
         if done:
             break
-        most = max(FEW, ends // HOT)
-        hot = most if top > most else None
+        hot = most_rows(ends) if top > most_rows(ends) else None
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        large = _with_least(both, "u", "v", hot).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))  # an edge gives one row, so no more than before
+        large = with_least(both, "u", "v", hot).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))  # an edge gives one row, so no more than before
         if hot:
             large = written(large.distinct(), "large")  # it is read four times
-        near = _with_least(large, "hi", "lo", hot)
+        near = with_least(large, "hi", "lo", hot)
         small = near.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(near.select("hi", F.col("m").alias("lo"))).distinct()
         before, now = now, written(small, "edges")
         for spent in (before, large) if hot else (before,):

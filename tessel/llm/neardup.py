@@ -10,10 +10,10 @@ Equal sets are one node from the start.  In a bucket every node is compared,
 on full sets, with the bucket's smallest node; linked nodes become components.
 Only buckets that still hold several components go on: their nodes are
 compared with a few of other components, which leaves little to do, and then
-with all of other components.  Buckets with too many such pairs are dealt anew
-by further half keys, as far as LEVELS times, before all are compared.  Pairs
-that sizes rule out, or shingles no other set has, are never made.  Nothing
-is capped.
+with all of other components.  A bucket's nodes are dealt to blocks of about
+BLOCK, and each block meets the nodes compared with it, so a hot bucket is many
+tasks' work.  Pairs that sizes rule out, or shingles no other set has, are never
+made.  Every pair that shares a bucket is decided, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -25,16 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessel.llm import wordhash
-from tessel.operators.components import connected_components
+from tessel.operators.components import connected_components, most_rows, with_least
 from tessel.storage import written
 
 SHINGLE = 5
 PERCENT = 75
 T = 8
-LEVELS = 3
-#: Pairs across components, by node of the bucket, that are compared at once;
-#: buckets with more are dealt anew.
-BUCKET = 512
+#: Nodes of a bucket that one block holds, in expectation.
+BLOCK = 256
 #: Bins, by hash, in which a set's shingles are counted to bound intersections.
 BIN_BITS = 6
 BINS = 1 << BIN_BITS
@@ -42,7 +40,7 @@ BINS = 1 << BIN_BITS
 FEW = 4
 
 _rng = np.random.default_rng(20240502)
-_ODD = _rng.integers(1, 2**63, 4 * T + 2 * T * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _rng.integers(1, 2**63, 4 * T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,7 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node[some] = wordhash.mix(np.add.reduceat(wordhash.mix(h ^ _ODD[0]), starts) + n[some].astype(np.uint64))
                 for k, side in enumerate(sides):
                     side[some] = _half_keys(h, starts, 1 + 2 * T * k - k, T)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(n), pa.array(node.view(np.int64), mask=~some), *(_lists(s, np.arange(0, (j - i) * T + 1, T)) for s in sides)], names=["doc_id", "n", "node", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("text_key")[i:j], pa.array(n), pa.array(node.view(np.int64), mask=~some), *(_lists(s, np.arange(0, (j - i) * T + 1, T)) for s in sides)], names=["doc_id", "text_key", "n", "node", "a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +106,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(n):
                 continue
             node = wordhash.mix(np.add.reduceat(wordhash.mix(h ^ _ODD[0]), starts) + n.astype(np.uint64))
-            more = _half_keys(h, starts, 4 * T - 1, T * LEVELS)
             bins = np.bincount(np.repeat(np.arange(len(n)), n) * BINS + (h >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=len(n) * BINS)
             bins = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BINS + 1, BINS), pa.int32()), pa.array(bins.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(h, np.append(starts, len(h))), _lists(more, np.arange(0, len(n) * T * LEVELS + 1, T * LEVELS)), bins], names=["node", "n", "set", "more", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n), _lists(h, np.append(starts, len(h))), bins], names=["node", "n", "set", "bins"])
 
 
 def _common(sets: DataFrame) -> DataFrame:
@@ -143,88 +140,95 @@ def _bins_fit() -> Column:
 
 
 def _mixed(level: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, with the bucket's
-    count and its ordered pairs across components (cross)."""
+    """The rows of buckets that hold several components, with the bucket's count."""
     parts = level.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    state = parts.groupBy("key").agg(F.sum("k").alias("count"), F.count("*").alias("comps"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("comps > 1")
-    return level.join(state.select("key", "count", (F.col("count") * F.col("count") - F.col("squares")).alias("cross")), "key").select("key", "node", "n", "common", "path", "comp", "count", "cross")
+    state = parts.groupBy("key").agg(F.sum("k").alias("count"), F.count("*").alias("comps")).where("comps > 1")
+    return level.join(state.select("key", "count"), "key").select("key", "node", "n", "common", "table", "comp", "count")
 
 
 def _labelled(df: DataFrame, components: DataFrame) -> DataFrame:
     return df.join(components.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by
-    links, itself included), kept.
-
-    Null, empty and blank texts have no shingles and link with nothing.  Rows
-    with the same doc_id share its id; each row is judged by its own text.  A
-    component whose ids are all null has a null id and keeps all its rows.  An
-    empty table gives no rows; other columns are ignored.  Nodes are 64-bit
-    hashes of whole sets.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = written(rows.mapInArrow(_signatures, "doc_id long, n long, node long, a array<long>, b array<long>"), "signatures")
-    nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("a").alias("a"), F.min("b").alias("b")), "nodes")
+def _labels(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles, and, but for blank texts, comp and
+    component_id."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    sig = written(rows.mapInArrow(_signatures, "doc_id long, text_key long, n long, node long, a array<long>, b array<long>"), "signatures")
+    nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("a").alias("a"), F.min("b").alias("b")), "nodes")
     tables = F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.struct(F.xxhash64(x, y).alias("key"), (T * i + j).alias("table"))))
     keys = nodes.select("node", F.explode(F.flatten(tables)).alias("k")).select("node", "k.key", "k.table")
     shared = keys.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("pivot")).where("count > 1")
     members = written(keys.join(shared.drop("count"), "key"), "members")
     # Texts of the nodes that share any bucket, read again and shuffled once.
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    again = rows.join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = again.mapInArrow(_sets, "node long, n long, set array<long>, more array<long>, bins array<int>")
-    sets = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("more").alias("more"), F.first("bins").alias("bins")), "sets")
+    wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node").select(F.col("row.doc_id").alias("d"), F.col("row.text_key").alias("k")).distinct()
+    again = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")
+    found = again.mapInArrow(_sets, "node long, n long, set array<long>, bins array<int>")
+    sets = written(found.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("bins").alias("bins")), "sets")
     sizes = written(_common(sets), "sizes")
     pairs = members.where("node != pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")).distinct()
     pairs = pairs.join(sizes.toDF("src", "n_src", "c_src"), "src").join(sizes.toDF("dst", "n_dst", "c_dst"), "dst").where(_fit()).select("src", "dst")
-    links = written(_confirmed(pairs, sets), "links")
-    components = connected_components(links)
-    path = F.array(F.floor(F.col("table") / T).cast("int"), F.pmod("table", F.lit(T)).cast("int"))
-    level = members.join(sizes.where(f"100 * common >= {PERCENT} * n"), "node").select("key", "node", "n", "common", path.alias("path"))
-    halves = sets.select("node", "more", "bins").join(nodes.select("node", "a", "b"), "node").select("node", "bins", F.concat(F.array("a", "b"), *[F.array(F.slice("more", d * T + 1, T)) for d in range(LEVELS)]).alias("halves"))
+    components = connected_components(written(_confirmed(pairs, sets), "links"))
+    level = members.join(sizes.where(f"100 * common >= {PERCENT} * n"), "node").select("key", "node", "n", "common", "table")
+    marks = sets.select("node", "bins").join(nodes.select("node", "a", "b"), "node")
     # First with a few nodes of each bucket, so that most of what belongs together is one component, then with all.
-    rounds = [("few", 0), *(("all", depth) for depth in range(LEVELS + 1))]
-    for turn, (how, depth) in enumerate(rounds):
+    for few in (True, False):
         level = written(_mixed(_labelled(level, components)), "mixed")
         if level.isEmpty():
             break
-        if how == "few":
-            here, chosen = level, F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("count") / FEW)) == 0
-        else:
-            here, chosen = level if depth == LEVELS else level.where(f"cross <= {2 * BUCKET} * count"), F.lit(True)
-        here = here.withColumn("chosen", chosen).join(halves, "node").select("key", "node", "n", "common", "comp", "halves", "bins", "path", "chosen")
-        left, right = here.drop("chosen").toDF("key", "src", "n_src", "c_src", "c", "l", "bins_l", "path"), here.where("chosen").drop("path", "chosen").toDF("key", "dst", "n_dst", "c_dst", "d", "r", "bins_r")
-        once = F.lit(True) if how == "few" else F.col("src") < F.col("dst")
-        # Two nodes share several tables: the first one, in every collection, makes the pair.
-        first = F.lit(True)
-        for k in range(2 + depth if how == "all" else 0):
-            at = F.col("path")[k]
-            equal = F.zip_with(F.slice(F.col("l")[k], 1, at), F.slice(F.col("r")[k], 1, at), lambda x, y: x == y)
-            first = first & ~F.array_contains(equal, True)
-        pairs = left.join(right, (left["key"] == right["key"]) & once & (F.col("c") != F.col("d")) & _fit() & first & _bins_fit())
+        here = level.join(marks, "node").withColumn("blocks", F.ceil(F.col("count") / BLOCK))
+        left = here.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        left = left.select("key", "block", "table", F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("common").alias("c_src"), F.col("comp").alias("c"), F.col("a").alias("a_l"), F.col("b").alias("b_l"), F.col("bins").alias("bins_l"))
+        right = here.where(F.pmod(F.xxhash64("node", F.lit("few")), F.ceil(F.col("count") / FEW)) == 0) if few else here
+        right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        right = right.select("key", "block", F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("common").alias("c_dst"), F.col("comp").alias("d"), F.col("a").alias("a_r"), F.col("b").alias("b_r"), F.col("bins").alias("bins_r"))
+        # Two nodes share several tables: the first one makes the pair.
+        before = lambda l, r, at: F.array_contains(F.zip_with(F.slice(l, 1, at), F.slice(r, 1, at), lambda x, y: x == y), True)
+        first = ~before("a_l", "a_r", F.floor(F.col("table") / T).cast("int")) & ~before("b_l", "b_r", F.pmod("table", F.lit(T)).cast("int"))
+        once = F.lit(True) if few else (F.col("src") < F.col("dst")) & first
+        pairs = left.join(right, ["key", "block"]).where((F.col("c") != F.col("d")) & _fit() & once & _bins_fit())
         pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         more = written(_confirmed(pairs, sets), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            components = connected_components(links)
-        if how == "all" and depth < LEVELS:
-            deeper = level.where(f"cross > {2 * BUCKET} * count").select("key", "node", "n", "common", "path").join(sets.select("node", F.slice("more", depth * T + 1, T).alias("more")), "node")
-            deeper = deeper.select("node", "n", "common", F.posexplode("more").alias("at", "half"), "key", "path")
-            level = deeper.select(F.xxhash64("key", "half").alias("key"), "node", "n", "common", F.array_append("path", F.col("at")).alias("path"))
-        else:
-            level = level.select("key", "node", "n", "common", "path")
-    named = _labelled(nodes.select("node", "id"), components)
-    ids = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    label = named.join(ids, "comp").select("node", "component_id")
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), "node").join(label, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+            # What is known stands as one edge a node beside the new links.
+            components = connected_components(components.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(more))
+        level = level.select("key", "node", "n", "common", "table")
+    named = written(_labelled(nodes.select("node", "id"), components), "named")
+    label = with_least(named, "comp", "id", most_rows(named.count())).select("node", "comp", F.col("m").alias("component_id"))
+    return sig.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(label, "node", "left").drop("node")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by
+    links, itself included), kept.
+
+    Null, empty and blank texts have no shingles and link with nothing.  Rows
+    with the same doc_id share its id; each row is judged by its own text.  A
+    component whose ids are all null has a null id and keeps all its rows.  An
+    empty table gives no rows; other columns are ignored.  Nodes are 64-bit
+    hashes of whole sets.
+    """
+    out = _labels(docs).select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the
-    smallest doc_id, all columns kept."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The rows of ``docs`` that stay: of each component one row, that with the
+    smallest doc_id (null ids last), then text hash; all columns kept, whatever
+    their names.  Rows are judged by their own text, so a doc_id that stands on
+    several texts may stay with one and go with another; of rows equal in doc_id
+    and text one stays.  Null, empty and blank texts all stay."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    texts = written(_labels(docs).where("comp is not null").groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("copies")).withColumn("rank", rank), "texts")
+    judged = with_least(texts, "comp", "rank", most_rows(texts.count()))
+    acts = written(judged.where("rank != m or copies > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), (F.col("rank") == F.col("m")).alias("one")), "acts")
+    d = docs.alias("d")
+    at = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.gone_id")) & (F.xxhash64(F.col("d.text")) == F.col("g.gone_key"))
+    rest = d.join(acts.alias("g"), at, "left_anti")
+    repeated = acts.where("one")
+    if repeated.isEmpty():
+        return rest
+    # Equal in doc_id and text: the first one is picked by an aggregation that combines before it shuffles.
+    held = d.join(repeated.alias("g"), at, "left_semi").select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"))
+    picked = held.groupBy(F.col("row.doc_id"), F.xxhash64("row.text")).agg(F.first("row").alias("row"))
+    return rest.unionByName(picked.select("row.*"))

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,82 @@ def test_vectors(spark):
     assert all(got[i] == (0, i) for i in range(61, 66))
 
 
+def test_hot_buckets(spark, monkeypatch):
+    """Hundreds of texts around the threshold of each other share buckets that
+    are dealt to blocks: components equal brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    texts = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for _ in range(120):
+            w = list(base)
+            for at in rng.integers(0, 120, 1 + int(rng.integers(0, 4))):
+                w[at] = f"x{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(sets)))
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                linked += 1
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    assert 1000 < linked < 25000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: root(i) for i in range(len(sets))}
+
+
+def test_keep_one(spark):
+    """Rows are judged by their own text; of equal rows one stays."""
+    near, other = LONG.replace("w30 ", "x "), LONG.replace("w", "u")
+    rows = [(1, LONG), (1, LONG), (2, near), (2, "clean text of its own here"), (None, LONG), (None, other), (None, other), (9, other), (7, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, row string, gone_id int")
+    out = neardup.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, LONG), (2, "clean text of its own here"), (9, other), (7, None), (7, ""), (7, "")], key=str)
+
+
+def brute_links(x):
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = v @ v.T >= 0.9
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[row].min() for row in link])
+        if (new == label).all():
+            return [(int(n) - 1, int(c)) for n, c in zip(link.sum(axis=1), label)]
+        label = new
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.12, 1.0])
+def test_vectors_in_cells(spark, monkeypatch, spread):
+    """Many cells and blocks; clustered vectors are sent to few blocks."""
+    monkeypatch.setattr(embedding_pairs, "LEAF", 40)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(25, 16))
+    x = np.concatenate([centre[rng.integers(0, 25, 700)] + spread * rng.normal(size=(700, 16)), centre[:1] + 0.001 * rng.normal(size=(300, 16))])
+    sent = []
+    links = embedding_pairs._meetings
+    monkeypatch.setattr(embedding_pairs, "_meetings", lambda *a: sent.append(a) or links(*a))
+    rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_pairs.near_vectors(rows).collect())
+    assert [g[1:] for g in got] == brute_links(x)
+    if spread < 0.1:
+        # The far clusters are never sent for: a vector meets few of the groups.
+        centres, groups, reach = sent[0]
+        v = x / np.linalg.norm(x, axis=1, keepdims=True)
+        batch = pa.RecordBatch.from_pydict({"node": range(len(v)), "weight": [1] * len(v), "unit": [r.tobytes() for r in v], "hash": range(len(v)), "grp": [int(g) for g in 2 * (v @ centres.T).argmax(axis=1)]})
+        groups = {int(g): (1, 0.2) for g in set(batch.column("grp").to_pylist())}
+        copies = sum(b.num_rows for b in links(centres, groups, reach)(iter([batch])))
+        assert copies < 3 * len(v)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -190,15 +267,28 @@ def test_chat(spark):
 def test_lines(spark):
     rows = [(i, f"own {i}\nsame  line\n\nsame line", f"s{i % 12}") for i in range(24)] + [(30, None, None), (31, "", "s1"), (32, "same line", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r["_text"] for r in lines.dedup_lines(docs).collect()}
+    got = {r["row"]["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
     assert got[0] == "own 0\nsame  line\n" and got[5] == "own 5\n" and got[30] is None and got[31] == "" and got[32] == ""
     by_join = lines.removed_lines(docs, broadcast_lines=0).count()
     assert by_join == lines.removed_lines(docs).count() == 25
     left = lines.without_boilerplate(docs)
     assert left.columns == docs.columns and left.where("doc_id = 32").count() == 0 and left.count() == 26
-    assert lines.dedup_lines(docs, 13).where("_removed > 0").count() == 0
+    assert lines.dedup_lines(docs, 13).where("n_removed > 0").count() == 0
 
 
+def test_passages(spark):
+    """Passages of over 50 words on few sites go from documents that quote them,
+    not from copies of documents; a hot source counts once."""
+    passage, own = " ".join(f"p{i}" for i in range(60)), lambda k, n: " ".join(f"o{k}x{i}" for i in range(n))
+    rows = [(i, own(i, 80) + "\n" + passage, "hot" if i < 6 else f"s{i}") for i in range(8)]  # three sites
+    rows += [(20 + i, passage.replace("p", "q") + "\n" + own(20, 30), f"s{i}") for i in range(4)]  # copies: mostly passage
+    rows += [(40 + i, own(40 + i, 80) + "\n" + passage.replace("p", "r"), f"s{i % 2}") for i in range(4)]  # two sites
+    rows += [(60 + i, own(60 + i, 80) + "\n" + " ".join(passage.split()[:50]), f"s{i}") for i in range(9)]  # not long
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {r["row"]["doc_id"] for r in lines.dedup_lines(docs).where("n_removed > 0").collect()}
+    assert gone == set(range(1, 8))
+    assert lines.dedup_lines(docs, long_sites=2).where("n_removed > 0").count() == 7 + 3
+
 def test_licenses(spark):
     body = " ".join(s for name, s in licenses.SENTENCES if name in ("mit-condition", "as-is"))
     grant = next(s for name, s in licenses.SENTENCES if name == "mit-grant")

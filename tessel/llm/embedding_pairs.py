@@ -3,14 +3,18 @@
 Unit vectors with cosine >= c are those within sqrt(2 - 2c) of each other.  A
 cover tree over a bounded sample (nested nets of halving radii) gives cells;
 every vector of the table goes to its nearest cell, whose covering radius is
-then exact, so pairs of cells farther apart than the bound are dropped.
-Vectors within half the distance of their cell's centre (its core) all link
-with each other and are counted in bulk, so a hot cluster costs no pairs.  The
-other blocks of at most about LEAF vectors meet pair by pair; inside a pair two
-cover trees are traversed together: node pairs are dropped or taken whole by
-their covering radii, leaves are compared in double precision.
-
-The sample shapes the cells only; any sample gives the same links.
+then exact.  A vector is sent to another cell only if neither that radius nor
+the plane halfway between the two centres rules out a link, so what is copied
+is decided vector by vector, before any row is copied.  Vectors within half the
+distance of their cell's centre (its core) all link with each other and are
+counted in bulk, so a hot cluster costs no pairs.  The blocks of at most about
+LEAF vectors meet pair by pair; inside a pair two cover trees are traversed
+together: node pairs are dropped or taken whole by their covering radii, leaves
+are compared in double precision.
+
+The sample shapes the cells only; any sample gives the same links.  Vectors
+without clusters, far from each other in many dimensions, let no bound part
+them: nearly all blocks meet then, as exact results need.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tessel.operators.components import connected_components
@@ -29,8 +34,12 @@ from tessel.storage import written
 COSINE = 0.9
 #: Vectors of the sample whose nets are the cells, and cells at most.
 SAMPLE, CELLS = 2048, 512
-#: Vectors in a block, and in a leaf of a block's tree.
-LEAF, TREE_LEAF = 2048, 256
+#: Vectors in a block, and in a node of its tree that needs no children.
+LEAF, TREE_LEAF = 8192, 256
+#: Members of the net of half a node's radius; a node that needs more has no children.
+FAN = 64
+#: Rows whose dot products with a leaf are held at once.
+ROWS = 1024
 #: Slack of distance bounds; far above rounding, and pairs inside it are compared.
 SLACK = 1e-6
 
@@ -68,7 +77,9 @@ class Node:
         if len(rows) <= TREE_LEAF or self.radius < SLACK:
             return
         centres, left = [centre], gap > self.radius / 2
-        while left.any() and len(centres) < 16:  # the net of half the radius, its parent's centre first
+        while left.any():  # the net of half the radius, its parent's centre first
+            if len(centres) == FAN:
+                return
             new = points[rows[np.argmax(np.where(left, gap, -1))]]
             centres.append(new)
             left &= np.linalg.norm(points[rows] - new, axis=1) > self.radius / 2
@@ -100,9 +111,10 @@ def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> list[tuple[np.ndarray
         elif b.children:
             stack += [(a, c) for c in b.children]
         else:
-            i, j = np.nonzero(x[a.rows] @ y[b.rows].T >= cosine)
-            if len(i):
-                found.append((a.rows[i], b.rows[j], False))
+            for k in range(0, len(a.rows), ROWS):
+                i, j = np.nonzero(x[a.rows[k : k + ROWS]] @ y[b.rows].T >= cosine)
+                if len(i):
+                    found.append((a.rows[k + i], b.rows[j], False))
     return found
 
 
@@ -160,26 +172,73 @@ def _block_links(cosine: float):
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units = []
-        for value in batch.column(1):
-            x = np.array([np.nan if c is None else c for c in value.as_py()] if value.is_valid else [], np.float64)
-            size = np.abs(x).max() if len(x) else 0.0
-            if size > 0 and np.isfinite(size):
-                x = x / size
-                units.append((x / np.linalg.norm(x) + 0.0).tobytes())
-            else:
-                units.append(None)
+        lists = batch.column(1)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        units: list[bytes | None] = [None] * len(size)
+        for n in np.unique(size[size > 0]):  # the vectors of one length are one matrix
+            rows = np.flatnonzero(size == n)
+            flat = lists.take(pa.array(rows)).flatten()
+            x = flat.to_numpy(zero_copy_only=False).reshape(-1, n)  # a null component is a NaN
+            most = np.abs(x).max(axis=1)
+            good = (most > 0) & np.isfinite(most)
+            x = np.ascontiguousarray(x[good] / most[good, None])
+            x = x / np.sqrt((x * x).sum(axis=1))[:, None] + 0.0
+            for row, unit in zip(rows[good], x):
+                units[row] = unit.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], names=["vec_id", "unit"])
 
 
+def _gaps(batch: pa.RecordBatch, centres: np.ndarray) -> np.ndarray:
+    """Distance of every unit to every centre."""
+    x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, centres.shape[1])
+    return np.sqrt(np.maximum(0, 2 - 2 * (x @ centres.T)))
+
+
 def _into_cells(centres: np.ndarray, core: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, centres.shape[1])
-            cell = np.argmax(x @ centres.T, axis=1) if len(x) else np.zeros(0, np.int64)
-            gap = np.linalg.norm(x - centres[cell], axis=1)
-            group = 2 * cell + (gap <= core)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group.astype(np.int64)), pa.array(gap)], names=[*batch.schema.names, "grp", "gap"])
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                gaps = _gaps(part, centres)
+                cell = gaps.argmin(axis=1)
+                gap = gaps[np.arange(len(cell)), cell]
+                group = 2 * cell + (gap <= core)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(group.astype(np.int64)), pa.array(gap)], names=[*part.schema.names, "grp", "gap"])
+
+    return run
+
+
+def _meetings(centres: np.ndarray, groups: dict[int, tuple[int, float]], reach: float):
+    """Rows (pa, pb, side, node, weight, unit): every vector once for each block
+    it may have links in.  ``groups``: vectors and covering radius by group."""
+    ids = np.array(sorted(groups))
+    cells, cores = ids // 2, ids % 2 == 1
+    blocks = np.array([math.ceil(groups[g][0] / LEAF) for g in ids])
+    radius = np.array([groups[g][1] for g in ids])
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))
+    place = {int(g): k for k, g in enumerate(ids)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                gaps = _gaps(part, centres)
+                group = part.column("grp").to_numpy()
+                cell = group // 2
+                own = gaps[np.arange(len(cell)), cell]
+                ball = gaps[:, cells] <= radius + reach + SLACK
+                # Every vector of a cell is on its centre's side of the plane halfway to any other centre.
+                plane = gaps[:, cells] ** 2 - own[:, None] ** 2 <= 2 * apart[cell][:, cells] * (reach + SLACK) + SLACK
+                meets = ball & plane & ~((ids == group[:, None]) & cores)
+                row, other = np.nonzero(meets)
+                turns = blocks[other]
+                row, other = np.repeat(row, turns), np.repeat(other, turns)
+                theirs = (ids[other] << 32) + np.arange(len(row)) - np.repeat(np.cumsum(turns) - turns, turns)
+                mine = ((group << 32) + part.column("hash").to_numpy() % blocks[[place[int(g)] for g in group]])[row]
+                for a in range(0, len(row), 4 * ROWS):
+                    cut = slice(a, a + 4 * ROWS)
+                    m, t, take = mine[cut], theirs[cut], pa.array(row[cut])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, t)), pa.array(np.maximum(m, t)), pa.array((m > t).astype(np.int32)), *(part.column(c).take(take) for c in ("node", "weight", "unit"))], names=["pa", "pb", "side", "node", "weight", "unit"])
 
     return run
 
@@ -193,26 +252,15 @@ def _links(nodes: DataFrame, cosine: float) -> DataFrame:
     count = nodes.count()
     centres = nets(points, max(1, min(CELLS, count // LEAF)), reach)
     core = reach / 2 - SLACK
-    placed = written(nodes.mapInArrow(_into_cells(centres, core), "node long, id long, weight long, unit binary, grp long, gap double"), "cells")
+    hashed = nodes.withColumn("hash", F.shiftrightunsigned(F.xxhash64("node"), 33))
+    placed = written(hashed.mapInArrow(_into_cells(centres, core), "node long, id long, weight long, unit binary, hash long, grp long, gap double"), "cells")
     stats = {r["grp"]: r for r in placed.groupBy("grp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.max("gap").alias("radius"), F.min("node").alias("first")).collect()}  # at most 2 x CELLS
-    partners = []
-    for g, a in stats.items():
-        for h, b in stats.items():
-            apart = float(np.linalg.norm(centres[g // 2] - centres[h // 2])) - a["radius"] - b["radius"]
-            if apart <= reach + SLACK and not (g == h and g % 2):
-                partners.append((g, h, math.ceil(a["n"] / LEAF), math.ceil(b["n"] / LEAF)))
     cores = [(g, r["w"], r["first"]) for g, r in stats.items() if g % 2]
-    links = placed.join(F.broadcast(spark.createDataFrame(cores or [(-1, 0, 0)], "grp long, all long, first long")), "grp")
+    links = placed.join(F.broadcast(spark.createDataFrame(cores or [(-1, 0, 0)], "grp long, all long, first long")), "grp")  # at most CELLS rows
     links = links.where(F.col("all") > F.col("weight")).select("node", (F.col("all") - F.col("weight")).alias("links"), F.col("first").alias("peer"))
-    if partners:
-        table = F.broadcast(spark.createDataFrame(partners, "grp long, other long, own int, others int"))  # at most (2 x CELLS)^2 rows
-        block = lambda g, b: F.shiftleft(F.col(g), 32) + b
-        rows = placed.select("node", "weight", "unit", "grp").join(table, "grp")
-        rows = rows.withColumn("mine", block("grp", F.pmod(F.xxhash64("node"), "own"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-        rows = rows.withColumn("theirs", block("other", F.col("k").cast("long")))
-        rows = rows.select(F.least("mine", "theirs").alias("pa"), F.greatest("mine", "theirs").alias("pb"), (F.col("mine") > F.col("theirs")).cast("int").alias("side"), "node", "weight", "unit")
-        links = links.unionByName(rows.groupBy("pa", "pb").applyInPandas(_block_links(cosine), "node long, links long, peer long"))
-    return links
+    groups = {g: (r["n"], r["radius"]) for g, r in stats.items()}
+    rows = placed.mapInArrow(_meetings(centres, groups, reach), "pa long, pb long, side int, node long, weight long, unit binary")
+    return links.unionByName(rows.groupBy("pa", "pb").applyInPandas(_block_links(cosine), "node long, links long, peer long"))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

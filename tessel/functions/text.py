@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 #: Strings that stand for a missing value, compared trimmed and lower-case.
 SENTINELS = ("", "null", "none", "n/a", "na", "-", "--", "00000000", "0000-00-00", "00.00.0000", "0/0/0", "1900-01-01")
-#: Latin letters with marks, and the letters they compare as.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 FORMATS = ("yyyy-M-d", "yyyyMMdd", "d.M.yyyy", "M/d/yyyy", "M/d/yy", "yyyy/M/d")
 
 
@@ -18,8 +17,34 @@ def coerced(c: Column) -> Column:
     return F.when(~F.lower(t).isin(*SENTINELS), t)
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """By the rule "decompose for compatibility, drop combining marks, compose":
+    characters and the one character each becomes, then the marks, which go;
+    and the characters that become several."""
+    one, several, marks = {}, {}, []
+    for code in (*range(0x80, 0x2E80), *range(0xFB00, 0xFE00), *range(0xFF00, 0xFFE0)):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        plain = unicodedata.normalize("NFKC", "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)))
+        if plain != c:
+            (one if len(plain) == 1 else several)[c] = plain
+    return "".join([*one, *marks]), "".join(one.values()), several
+
+
+_MARKED, _PLAIN, _SEVERAL = _folds()
+#: Of the characters that become several, those that names and addresses hold (Latin ligatures and digraphs, fractions).
+_WIDE = {c: plain for c, plain in _SEVERAL.items() if c < "\u0250" or "\ufb00" <= c <= "\ufb06"}
+
+
 def without_accents(c: Column) -> Column:
-    return F.translate(c, MARKED, PLAIN)
+    """Letters without their marks, compatibility forms as plain characters."""
+    wide = c
+    for mark, plain in _WIDE.items():
+        wide = F.replace(wide, F.lit(mark), F.lit(plain))
+    c = F.when(c.rlike("[" + "".join(_WIDE) + "]"), wide).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, _MARKED, _PLAIN)).otherwise(c)
 
 
 def nonempty(c: Column) -> Column:
@@ -64,8 +89,9 @@ def split_name(c: Column, surnames: tuple[str, ...] = ()) -> tuple[Column, Colum
     head, rest = F.trim(F.substring_index(t, ",", 1)), F.trim(F.substr(t, F.instr(t, ",") + 1))
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     n = F.size(words)
-    known = F.array(*[F.lit(s.lower()) for s in surnames]).cast("array<string>")
-    front = (F.upper(t) == t) & F.array_contains(known, F.lower(without_accents(words[0])))
+    known = F.array(*[F.lit(s) for s in surnames]).cast("array<string>")
+    word = F.upper(words[0])
+    front = (F.upper(t) == t) & t.rlike(r"\p{L}") & (F.array_contains(known, word) | F.array_contains(known, F.upper(without_accents(word))))
     first = F.when(comma, nonempty(rest)).when(n < 2, None).when(front, F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")).otherwise(F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), " "))
     last = F.when(comma, nonempty(head)).when(n == 1, words[0]).when(front, words[0]).otherwise(F.element_at(words, -1))
     return titled(first), titled(last)

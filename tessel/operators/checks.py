@@ -60,6 +60,33 @@ def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def unique(df: DataFrame, key: tuple[str, ...], table: str) -> DataFrame:
+    """BLOCK: no two rows have the same key."""
+    n = duplicate_keys(df, *key).agg(F.count("*").alias("n"))
+    return _check(n, f"primary_key:{table}", "BLOCK", F.concat(F.col("n").cast("string"), F.lit(" keys on several rows")), F.col("n") == 0)
+
+
+def not_null(df: DataFrame, key: tuple[str, ...], table: str) -> DataFrame:
+    """BLOCK: no row lacks a part of its key."""
+    lacks = F.lit(False)
+    for c in key:
+        lacks = lacks | F.col(c).isNull()
+    n = df.agg(F.count_if(lacks).alias("n"))
+    return _check(n, f"not_null:{table}", "BLOCK", F.concat(F.col("n").cast("string"), F.lit(" rows without a key")), F.col("n") == 0)
+
+
+def run_all(customers: DataFrame, drift: DataFrame | None = None, counts: DataFrame | None = None, baseline: DataFrame | None = None, loyalty: DataFrame | None = None, pos: DataFrame | None = None) -> DataFrame:
+    """All checks of the conformed records, one row each."""
+    if counts is None:
+        counts = customers.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"))
+    found = null_explosion(customers).unionByName(volume(counts, baseline))
+    if drift is not None:
+        found = found.unionByName(drift)
+    if loyalty is not None and pos is not None:
+        found = found.unionByName(referential_integrity(loyalty, "pos_customer_id", pos, "CUST_ID"))
+    return found
+
+
 def gate(checks: DataFrame) -> None:
     failed = checks.where("severity = 'BLOCK' and not passed").collect()
     if failed:

@@ -12,6 +12,7 @@ from tessel import contracts
 from tessel.contracts import Settings
 from tessel.functions import text as t
 
+#: What is left of characters that an encoding lost.
 LOSSY = ("�", "?¿", "¿")
 
 

@@ -80,7 +80,7 @@ def schema_drift_report(spark, d):
     return checks.schema_drift(names, ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_clerk"), "orders")
 
 
-@query("SELECT doc_id, nullif(trim(lower(regexp_replace(regexp_replace(strip_accents(left(text, 200)), '[.,]+', ' ', 'g'), '\\s+', ' ', 'g'))), '') AS name FROM documents")
+@query("SELECT doc_id, nullif(trim(lower(regexp_replace(regexp_replace(strip_accents(text), '[.,]+', ' ', 'g'), '\\s+', ' ', 'g'))), '') AS name FROM documents")
 def normalize_name(spark, d):
     return table(spark, d, "documents").select("doc_id", t.normalized_name(F.col("text")).alias("name"))
 

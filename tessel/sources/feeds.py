@@ -1,88 +1,108 @@
 """Readers of the raw feeds: delimited, mixed-encoding, lossy and JSON files.
 
-Files are read through Spark's binary reader, so any store it reaches works.
-A file whose records span lines is one task's; larger deliveries should come
-as several files, which are read in parallel.
+All files go through Spark's own readers and are parsed in the JVM.  A file
+whose records may span lines is one task's, which streams it; the feed with an
+encoding per line is cut at line ends like any text.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tessel.contracts import Contract
+from tessel.contracts import LINEAGE, Contract
 
 #: What UTF-8 text looks like when it was read as Windows-1252.
-MOJIBAKE = ("Ã¤", "Ã¶", "Ã¼", "Ã„", "Ã–", "Ãœ", "ÃŸ", "Ã©", "Ã¨", "Ã±", "Â ")
-
-
-def repaired(data: bytes, mode: str = "repair") -> tuple[str, bool]:
-    """Text of one line, and whether its encoding had to be mended.  ``compat``
-    reads a doubly encoded line as Windows-1252 once more instead."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("cp1252", "replace"), True
-    if not any(m in text for m in MOJIBAKE):
-        return text, False
-    if mode == "compat":
-        return data.decode("cp1252", "replace"), True
-    try:
-        return text.encode("cp1252").decode("utf-8"), True
-    except UnicodeError:
-        return text, True
-
-
-def _records(content: bytes, kind: str, separator: str) -> Iterator[tuple[int, dict[str, str | None], bool]]:
-    if kind == "mixed":
-        header: list[str] | None = None
-        for number, line in enumerate(content.removeprefix(b"\xef\xbb\xbf").splitlines(), 1):
-            if not line.strip():
-                continue
-            text, fixed = repaired(line)
-            row = next(csv.reader([text], delimiter=separator))
-            if header is None:
-                header = row
-                yield 0, dict.fromkeys(header), False
-            else:
-                yield number, dict(zip(header, row)), fixed
-    elif kind == "json":
-        for number, item in enumerate(json.loads(content), 1):
-            flat = {**item, **(item.get("shipping_address") or {})}
-            yield number, {k: (v if v is None or isinstance(v, str) else json.dumps(v)) for k, v in flat.items() if k != "shipping_address"}, False
-    else:
-        rows = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""), delimiter=separator)
-        yield 0, dict.fromkeys(rows.fieldnames or ()), False
-        for number, row in enumerate(rows, 2):
-            yield number, {k: v for k, v in row.items() if k is not None}, False
+MOJIBAKE = ("Ã¼", "Ã¶", "Ã¤", "ÃŸ", "Ã©", "Ã¨", "Ã¡", "Ã³", "Ã±", "Ã„", "Ã–", "Ãœ", "â€")
+#: The bytes 80 to 9F as Latin-1 characters, and what Windows-1252 has there
+#: (U+FFFD where it has nothing).
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+#: A character that no feed holds: lines are read whole as one field.
+_NEVER = "\x1f"
+
+
+def _bytes(latin: Column) -> Column:
+    return F.encode(latin, "ISO-8859-1")
+
+
+def repaired(latin: Column, mode: str = "repair") -> tuple[Column, Column]:
+    """(text, whether its encoding had to be mended) of a line whose bytes are
+    given as Latin-1 characters.  A line that is no UTF-8 is Windows-1252;
+    doubly encoded text is decoded once more; ``compat`` reads it as
+    Windows-1252 instead, which spoils it further."""
+    utf8 = _bytes(latin).cast("string")
+    valid = F.is_valid_utf8(utf8)
+    cp1252 = F.translate(latin, _C1, _CP1252)
+    marked = F.lit(False)
+    for mark in MOJIBAKE:
+        marked = marked | F.contains(utf8, F.lit(mark))
+    narrow = F.translate(utf8, _CP1252.replace("�", ""), "".join(a for a, b in zip(_C1, _CP1252) if b != "�"))
+    twice = _bytes(narrow).cast("string")
+    mended = F.when(~utf8.rlike(r"[\u0080-\u009f]") & narrow.rlike(r"^[\u0000-ÿ]*$") & F.is_valid_utf8(twice), twice).otherwise(utf8)
+    return F.when(~valid, cp1252).when(marked, cp1252 if mode == "compat" else mended).otherwise(utf8), ~valid | marked
+
+
+def _numbered(df: DataFrame, first: int) -> DataFrame:
+    """``df`` of a file scan with ``_source_file`` and ``_source_row``: records
+    counted from ``first`` in their file.  Ids grow inside a scanned split, so a
+    record's number is what earlier splits of its file hold and its place in its
+    own: one aggregation over splits, no sort of records."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_source_file", "_block").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_source_file", "_block", (before - F.col("_low") + first).alias("_shift"))
+    return rows.join(splits, ["_source_file", "_block"]).withColumn("_source_row", F.col("_id") + F.col("_shift")).drop("_block", "_id", "_shift")
 
 
-@udtf(returnType="row long, fields map<string,string>, fixed boolean")
-class Records:
-    """Row 0 holds the header's names; rows are numbered as records, the header
-    being the first (mixed feeds: as lines; JSON: from 1)."""
+def _strings(names: list[str] | tuple[str, ...]) -> StructType:
+    return StructType([StructField(n, StringType()) for n in names])
 
-    def eval(self, content: bytes, kind: str, separator: str):
-        yield from _records(bytes(content), kind, separator)
 
+def _delimited(spark: SparkSession, separator: str, path: str) -> tuple[DataFrame, list[str]]:
+    reader = spark.read.options(header=True, sep=separator, quote='"', escape='"', multiLine=True, columnPruning=False)
+    names = reader.option("inferSchema", False).csv(path).columns  # the header, whose order is the files' own
+    df = reader.schema(_strings(names)).csv(path)
+    return _numbered(df, 2).withColumn("_encoding_fixed", F.lit(False)), names
 
-def read_feed(spark: SparkSession, contract: Contract, path: str, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+
+def _mixed(spark: SparkSession, separator: str, path: str, mode: str) -> tuple[DataFrame, list[str]]:
+    lines = spark.read.schema(_strings(["line"])).options(header=False, sep=_NEVER, quote="", encoding="ISO-8859-1", columnPruning=False, mode="PERMISSIVE").csv(path)
+    text, fixed = repaired(F.regexp_replace("line", "^ï»¿", ""), mode)
+    rows = _numbered(lines, 1).select("_source_file", "_source_row", text.alias("text"), fixed.alias("_encoding_fixed")).where("trim(text) != ''")
+    head = rows.groupBy("_source_file").agg(F.min_by("text", "_source_row").alias("text"), F.min("_source_row").alias("head"))
+    first = head.orderBy("_source_file").select("text").first()
+    names = [] if first is None else first[0].split(separator)
+    rows = rows.join(head.select("_source_file", "head"), "_source_file").where("_source_row > head").drop("head")
+    parsed = F.from_csv("text", F.lit(_strings(names).toDDL()), {"sep": separator, "quote": '"', "escape": '"'})
+    return rows.select(parsed.alias("fields"), "_source_file", "_source_row", "_encoding_fixed").select("fields.*", "_source_file", "_source_row", "_encoding_fixed"), names
+
+
+def _array(spark: SparkSession, contract: Contract, path: str) -> tuple[DataFrame, list[str]]:
+    inner = [c for c in contract.columns if c in ("line1", "city", "region", "postal_code", "country")]
+    schema = _strings([c for c in contract.columns if c not in inner]).add("shipping_address", _strings(inner))
+    df = _numbered(spark.read.schema(schema).option("multiLine", True).json(path), 1)
+    return df.select("*", "shipping_address.*", F.lit(False).alias("_encoding_fixed")).drop("shipping_address"), list(contract.columns)
+
+
+def read_feed(spark: SparkSession, contract: Contract, path: str, now: datetime | None = None, mode: str = "repair") -> tuple[DataFrame, DataFrame]:
     """(rows, header): contract columns and lineage of every record; short
-    records get nulls, surplus fields are dropped; and the header's names."""
-    spark.udtf.register("tessel_records", Records)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    files.createOrReplaceTempView("tessel_files")
-    read = spark.sql(f"SELECT f.path, r.* FROM tessel_files f, LATERAL tessel_records(f.content, '{contract.kind}', '{contract.separator}') r")
-    renamed = {v: k for k, v in contract.rename.items()}
-    values = [F.col("fields")[renamed.get(c, c)].alias(c) for c in contract.columns]
+    records get nulls, surplus fields are dropped; and the header's names, as
+    the contract renames them.  Rows are numbered as records, the header being
+    the first (mixed feeds: as lines; JSON: from 1).  An empty unquoted field is
+    null.  Files of one path share one header."""
+    if contract.kind == "json":
+        read, names = _array(spark, contract, path)
+    elif contract.kind == "mixed":
+        read, names = _mixed(spark, contract.separator, path, mode)
+    else:
+        read, names = _delimited(spark, contract.separator, path)
+    have = {contract.rename.get(n, n): n for n in names}
+    values = [(F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")).alias(c) for c in contract.columns]
     moment = F.lit(now or datetime.now(timezone.utc))
-    rows = read.where("row > 0").select(*values, F.lit(contract.name).alias("_source"), F.col("path").alias("_source_file"), F.col("row").alias("_source_row"), moment.alias("_ingested_at"), F.col("fixed").alias("_encoding_fixed"))
-    payload = F.to_json(F.struct(*contract.columns), {"ignoreNullFields": "false"})
-    header = read.where("row = 0").select(F.explode(F.map_keys("fields")).alias("column")).distinct()
-    return rows.withColumn("_raw_payload", payload), header
+    payload = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+    lineage = dict(zip(LINEAGE, (F.lit(contract.name), F.col("_source_file"), F.col("_source_row"), moment, payload)))
+    rows = read.select(*values, *[v.alias(k) for k, v in lineage.items()], "_encoding_fixed")
+    return rows, spark.createDataFrame([(n,) for n in have], "column string")

@@ -38,12 +38,19 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
-_TURN = re.compile(re.escape(TURN) + r"((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!\|end\|>))*)" + re.escape(END) + r"\n", re.S)
+#: A turn's role, to the first newline that no backslash marks.
+_ROLE = re.compile(re.escape(TURN) + r"((?:[^\\\n]++|\\.)*+)\n", re.S)
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of every turn of a formatted conversation."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    """(role, text) of every turn of a formatted conversation.  No control
+    string occurs in a text, so a text goes to the next END."""
+    turns, at = [], 0
+    while role := _ROLE.match(formatted, at):
+        end = formatted.index(END + "\n", role.end())
+        turns.append((unescape(role[1]), unescape(formatted[role.end() : end])))
+        at = end + len(END) + 1
+    return turns
 
 
 def _bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -125,6 +125,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns kept."""
-    bad = contaminated_words(docs, items).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, all columns kept,
+    whatever their names."""
+    bad = contaminated_words(docs, items).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id", "text_key").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("bad.text_key"))
+    return docs.alias("d").join(bad.alias("bad"), same, "left_anti")

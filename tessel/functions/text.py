@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import IntegerType
 
 #: Strings that stand for a missing value, compared trimmed and lower-case.
 SENTINELS = ("", "null", "none", "n/a", "na", "-", "--", "00000000", "0000-00-00", "00.00.0000", "0/0/0", "1900-01-01")
@@ -40,11 +42,9 @@ _WIDE = {c: plain for c, plain in _SEVERAL.items() if c < "\u0250" or "\ufb00" <
 
 def without_accents(c: Column) -> Column:
     """Letters without their marks, compatibility forms as plain characters."""
-    wide = c
     for mark, plain in _WIDE.items():
-        wide = F.replace(wide, F.lit(mark), F.lit(plain))
-    c = F.when(c.rlike("[" + "".join(_WIDE) + "]"), wide).otherwise(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, _MARKED, _PLAIN)).otherwise(c)
+        c = F.replace(c, F.lit(mark), F.lit(plain))
+    return F.translate(c, _MARKED, _PLAIN)
 
 
 def nonempty(c: Column) -> Column:
@@ -205,19 +205,23 @@ def address(*parts: Column) -> Column:
     return nonempty(F.concat_ws(", ", *[nonempty(p) for p in parts]))
 
 
-def _lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of its table."""
-    xs, ys = F.split(a, ""), F.split(b, "")
-    zero = F.transform(F.sequence(F.lit(0), F.size(ys)), lambda _: F.lit(0))
+def _lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit of an integer for each
+    character of ``a`` (Hyyrö's recurrence)."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            best = F.when(ys[j - 1] == x, prev[j - 1] + 1).otherwise(F.greatest(prev[j], F.element_at(acc, -1)))
-            return F.array_append(acc, best)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(ys)), F.array(F.lit(0)), cell)
-
-    return F.when((a == "") | (b == ""), 0).otherwise(F.element_at(F.aggregate(xs, zero, row), -1))
+@F.arrow_udf(returnType=IntegerType())
+def _lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else _lcs_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -227,7 +231,8 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0..1: the best Indel ratio among the shared words and the shared words
-    with either side's other words; 1 if one side has no other words."""
+    with either side's other words; 1 if one side has no other words.  Null if
+    either side is."""
     tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != "")))
     x, y = tokens(a), tokens(b)
     both = F.array_join(F.array_intersect(x, y), " ")
@@ -236,4 +241,4 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     # One side is the start of the other: their ratio needs no table.
     start = lambda whole: F.when(F.length(both) > 0, 2.0 * F.length(both) / (F.length(both) + F.length(whole))).otherwise(0.0)
     inside = (F.length(both) > 0) & ((only_x == "") | (only_y == ""))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(inside, 1.0).otherwise(F.greatest(indel_ratio(left, right), start(left), start(right)))
+    return F.when(a.isNull() | b.isNull(), None).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(inside, 1.0).otherwise(F.greatest(indel_ratio(left, right), start(left), start(right)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessel.contracts import Settings
+from tessel.contracts import CONTRACTS, Settings
 from tessel.functions import text as t
 from tessel.operators.components import connected_components
 from tessel.operators.conform import real_key
@@ -30,13 +30,20 @@ def foreign_edges(loyalty: DataFrame, customers: DataFrame) -> DataFrame:
     return members.join(pos, "fk").select("src", "dst")
 
 
+#: Records of a block that one task pairs with the whole block, in expectation.
+BLOCK = 1024
+
+
 def blocked_pairs(records: DataFrame, node: str, block: list[str], component: str) -> DataFrame:
     """Pairs (l, r) of the same block and different components, l before r; an
-    equi-join whose residual conditions drop connected pairs."""
-    rows = F.struct(*records.columns)
-    left = records.select(*block, rows.alias("l"))
-    right = records.select(*block, rows.alias("r"))
-    return left.join(right, block).where((F.col(f"l.{node}") < F.col(f"r.{node}")) & (F.col(f"l.{component}") != F.col(f"r.{component}"))).select("l", "r")
+    equi-join whose residual conditions drop connected pairs.  The records of a
+    block are dealt to parts, each of which meets the whole block, so a hot
+    block is many tasks' work."""
+    sizes = records.groupBy(*block).agg(F.count("*").alias("n")).where("n > 1")
+    rows = records.select(*block, F.struct(*records.columns).alias("x")).join(sizes, block).withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    left = rows.select(*block, F.pmod(F.xxhash64(f"x.{node}"), "parts").alias("part"), F.col("x").alias("l"))
+    right = rows.select(*block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("x").alias("r"))
+    return left.join(right, [*block, "part"]).where((F.col(f"l.{node}") < F.col(f"r.{node}")) & (F.col(f"l.{component}") != F.col(f"r.{component}"))).select("l", "r")
 
 
 def features(l: str = "l", r: str = "r") -> dict[str, Column]:
@@ -130,10 +137,12 @@ def customer_id(email: Column, phone: Column, names: Column, dates: Column, keys
 def golden(records: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(masters, crosswalk) of records with ``key`` and ``component``."""
     ranks = F.create_map(*[F.lit(x) for pair in settings.ranks.items() for x in pair])
-    loads = F.create_map(*[F.lit(x) for i, k in enumerate(settings.ranks) for x in (k, i)])
+    loads = F.create_map(*[F.lit(x) for i, k in enumerate(CONTRACTS) for x in (k, i)])
     rows = records.withColumn("_load", F.coalesce(loads[F.col("_source")], F.lit(99)))
     best = survivors(rows, "component", RANKED, LONGEST, F.coalesce(ranks[F.col("_source")], F.lit(0)), ["_load", "_source_row"])
-    ids = rows.groupBy("component").agg(F.min("email_normalized").alias("e"), F.min("phone_e164").alias("p"), F.array_sort(F.collect_set("full_name_normalized")).alias("names"), F.array_sort(F.collect_set(F.col("birth_date").cast("string"))).alias("dates"), F.array_sort(F.collect_set("key")).alias("keys"))
+    # Names, dates and keys matter only where no record has an address or a number, which no large cluster lacks.
+    bare = lambda c: F.array_sort(F.collect_set(F.when(F.col("email_normalized").isNull() & F.col("phone_e164").isNull(), c)))
+    ids = rows.groupBy("component").agg(F.min("email_normalized").alias("e"), F.min("phone_e164").alias("p"), bare(F.col("full_name_normalized")).alias("names"), bare(F.col("birth_date").cast("string")).alias("dates"), bare(F.col("key")).alias("keys"))
     ids = ids.select("component", customer_id(F.col("e"), F.col("p"), F.col("names"), F.col("dates"), F.col("keys")).alias("customer_id"))
     v = lambda c: F.col(f"{c}.value")
     told = [F.when(F.col(f"{c}_confidence") > 0, F.col(f"{c}_confidence")) for c in ("first_name", "last_name", "email_normalized", "phone_e164", "birth_date")]

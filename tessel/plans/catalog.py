@@ -45,41 +45,11 @@ def null_rate_by_source(spark, d):
     return checks.null_rates(rows, ("lang", "text"))
 
 
-@query("""WITH j AS (SELECT source, quality, toxic FROM documents JOIN labels USING (doc_id)),
-g AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE quality = 0) AS bad, count(*) FILTER (WHERE toxic = 1) AS toxic FROM j GROUP BY source)
-SELECT source, CAST(total AS BIGINT) AS row_count, CAST(greatest(0.0, least(1.0, 1.0 - (CAST(bad AS DOUBLE) / total + CAST(toxic AS DOUBLE) / total) / 2)) AS DOUBLE) AS quality_score FROM g""")
-def quality_score_by_source(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
-    g = rows.groupBy("source").agg(F.count("*").alias("row_count"), F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("toxic") == 1).alias("tox"))
-    return g.select("source", "row_count", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - (F.col("bad") / F.col("row_count") + F.col("tox") / F.col("row_count")) / 2)).alias("quality_score"))
-
-
-@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), b AS (SELECT avg(n) AS m FROM c)
-SELECT day, n, (n - m) / m AS delta, abs((n - m) / m) > 0.3 AS anomalous FROM c, b""")
-def volume_delta(spark, d):
-    c = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    b = c.agg(F.avg("n").alias("m"))  # always one row
-    delta = (F.col("n") - F.col("m")) / F.col("m")
-    return c.join(F.broadcast(b)).select("day", "n", delta.alias("delta"), (F.abs(delta) > 0.3).alias("anomalous"))
-
-
-@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def referential_orphans(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("fk"))
-    return checks.orphans(c, "fk", table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("pk")), "pk")
-
-
 @query("SELECT DISTINCT o_custkey FROM orders")
 def distinct_fk(spark, d):
     return table(spark, d, "orders").select("o_custkey").distinct()
 
 
-@query("SELECT 'schema_drift:orders' AS name, 'BLOCK' AS severity, false AS passed, 'missing=o_clerk extra=o_orderdate,o_orderpriority' AS detail")
-def schema_drift_report(spark, d):
-    names = spark.createDataFrame([(c,) for c in table(spark, d, "orders").columns], "column string")
-    return checks.schema_drift(names, ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_clerk"), "orders")
-
-
 @query("SELECT doc_id, nullif(trim(lower(regexp_replace(regexp_replace(strip_accents(text), '[.,]+', ' ', 'g'), '\\s+', ' ', 'g'))), '') AS name FROM documents")
 def normalize_name(spark, d):
     return table(spark, d, "documents").select("doc_id", t.normalized_name(F.col("text")).alias("name"))
@@ -93,25 +63,27 @@ def split_full_name(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(first, F.lit("")).alias("first_name"), last.alias("last_name"))
 
 
-_MAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+_MAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 
-@query(f"""WITH m AS (SELECT doc_id, lower(regexp_extract(text, '{_MAIL}')) AS e FROM documents),
-s AS (SELECT doc_id, string_split(string_split(e, '@')[1], '+')[1] AS l, string_split(e, '@')[2] AS dom FROM m WHERE e <> '')
-SELECT doc_id, CASE WHEN dom IN ('gmail.com', 'googlemail.com') THEN replace(l, '.', '') || '@gmail.com' ELSE l || '@' || dom END AS email FROM s""")
+@query(f"""WITH m AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_MAIL}'))) AS e FROM documents),
+s AS (SELECT doc_id, string_split(string_split(e, '@')[1], '+')[1] AS l, string_split(e, '@')[2] AS dom FROM m)
+SELECT doc_id, CASE WHEN dom IN ('gmail.com', 'googlemail.com') THEN replace(l, '.', '') || '@gmail.com' WHEN l <> '' THEN l || '@' || dom END AS email FROM s""")
 def email_normalize(spark, d):
-    e = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", _MAIL, 0).alias("e")).where("e != ''")
+    """Every address of every text."""
+    e = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MAIL), 0)).alias("e"))
     return e.select("doc_id", t.normalized_email(F.col("e")).alias("email"))
 
 
-_PHONE = r"\(\d{3}\) \d{3}-\d{4}"
+_PHONE = r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 
 
-@query(f"""WITH p AS (SELECT doc_id, regexp_extract(text, '{_PHONE.replace(chr(92) + "d", "[0-9]")}') AS p FROM documents),
-n AS (SELECT doc_id, regexp_replace(p, '[^0-9]', '', 'g') AS n FROM p WHERE p <> '')
+@query(f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PHONE}')) AS p FROM documents),
+n AS (SELECT doc_id, regexp_replace(p, '[^0-9]', '', 'g') AS n FROM p)
 SELECT doc_id, CASE WHEN regexp_matches(n, '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') THEN '+1' || right(n, 10) END AS phone FROM n""")
 def phone_e164(spark, d):
-    p = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", _PHONE, 0).alias("p")).where("p != ''")
+    """Every number of every text."""
+    p = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_PHONE), 0)).alias("p"))
     return p.select("doc_id", t.normalized_phone(F.col("p"))[0].alias("phone"))
 
 
@@ -135,9 +107,9 @@ def zip_pad(spark, d):
     return table(spark, d, "customer").select("c_custkey", z.alias("zip"), padded.alias("padded"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) + 0.25 AS DOUBLE) AS amount FROM orders")
+@query("SELECT o_orderkey, CAST(round(o_totalprice, 2) AS DOUBLE) AS amount FROM orders")
 def german_decimal(spark, d):
-    shown = F.concat(F.replace(F.format_number(F.floor("o_totalprice"), 0), F.lit(","), F.lit(".")), F.lit(",25"))
+    shown = F.translate(F.format_number(F.round("o_totalprice", 2), 2), ",.", ".,")
     return table(spark, d, "orders").select("o_orderkey", t.german_decimal(shown).alias("amount"))
 
 
@@ -158,25 +130,12 @@ def flags_join(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", f.alias("flags"))
 
 
-@query("SELECT event_id, props->>'$.k' AS k FROM events")
-def json_payload_field(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>")["k"].alias("k"))
-
-
-@query("SELECT CASE WHEN l_quantity > 45 THEN 'bulk' WHEN l_discount >= 0.09 THEN 'discount' WHEN l_tax > 0.07 THEN 'tax' ELSE 'kept' END AS reason, count(*) AS n FROM lineitem GROUP BY 1")
-def reject_routing(spark, d):
-    why = F.when(F.col("l_quantity") > 45, "bulk").when(F.col("l_discount") >= 0.09, "discount").when(F.col("l_tax") > 0.07, "tax").otherwise("kept")
-    return table(spark, d, "lineitem").groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT doc_id, contains(text, 'ñ') OR contains(text, 'ß') AS marked FROM documents")
-def encoding_flag(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.contains("text", F.lit("ñ")) | F.contains("text", F.lit("ß"))).alias("marked"))
-
-
 @query("SELECT min(doc_id) AS rep, count(*) AS n FROM documents GROUP BY lower(trim(text))")
 def dedup_exact_clusters(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2(F.lower(F.trim("text")), 256)).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).select("rep", "n")
+    """Documents with equal texts as clusters: star edges on a key, components, members."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower(F.trim("text")), 256).alias("key"))
+    found = resolve.labelled(docs, resolve.star_edges(docs, "doc_id", "key"), "doc_id")
+    return found.groupBy(F.col("component").alias("rep")).agg(F.count("*").alias("n"))
 
 
 def _part_edges(spark, d):
@@ -200,45 +159,6 @@ def auto_merge_count(spark, d):
     return components_two_keys(spark, d).agg((F.count("*") - F.count_distinct("component")).alias("merged"))
 
 
-_BANDS = """SELECT a.p_partkey AS l, b.p_partkey AS r, 0.4 * (a.p_type = b.p_type)::INT + 0.4 * (a.p_size = b.p_size)::INT + 0.2 * (abs(a.p_retailprice - b.p_retailprice) <= 50)::INT AS score
-FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey"""
-
-
-def _scored(spark, d):
-    part = table(spark, d, "part").withColumn("component", F.col("p_partkey"))
-    pairs = resolve.blocked_pairs(part, "p_partkey", ["p_brand", "p_type"], "component")
-    score = 0.4 * (F.col("l.p_type") == F.col("r.p_type")).cast("int") + 0.4 * (F.col("l.p_size") == F.col("r.p_size")).cast("int") + 0.2 * (F.abs(F.col("l.p_retailprice") - F.col("r.p_retailprice")) <= 50).cast("int")
-    return pairs.select(F.col("l.p_partkey").alias("l"), F.col("r.p_partkey").alias("r"), F.round(score, 4).alias("score"))
-
-
-@query(_BANDS.replace("0.4 * (a.p_type", "round(0.4 * (a.p_type").replace("::INT AS score", "::INT, 4)::DOUBLE AS score"))
-def blocked_pairs_scored(spark, d):
-    return _scored(spark, d)
-
-
-@query(f"SELECT CASE WHEN round(score, 4) >= 0.9 THEN 'auto' WHEN round(score, 4) >= 0.7 THEN 'review' ELSE 'drop' END AS band, count(*) AS n FROM ({_BANDS}) GROUP BY 1")
-def banding(spark, d):
-    return _scored(spark, d).groupBy(resolve.band(F.col("score"), Settings()).alias("band")).agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT l, r, round(score, 4)::DOUBLE AS score FROM ({_BANDS}) WHERE round(score, 4) < 0.9 ORDER BY round(score, 4) DESC, l, r LIMIT 100")
-def review_topk(spark, d):
-    return _scored(spark, d).where("score < 0.9").orderBy(F.desc("score"), "l", "r").limit(100)
-
-
-@query(f"SELECT l, r FROM ({_BANDS}) WHERE round(score, 4) >= 0.7 AND l % 3 <> 0")
-def open_reviews_anti_audit(spark, d):
-    reviews = _scored(spark, d).where("score >= 0.7").withColumn("review_id", F.concat_ws("|", "l", "r"))
-    return serve.open_reviews(reviews, reviews.where("l % 3 = 0").select("review_id")).select("l", "r")
-
-
-@query()
-def token_set_ratio(spark, d):
-    part = table(spark, d, "part").withColumn("component", F.col("p_partkey"))
-    pairs = resolve.blocked_pairs(part, "p_partkey", ["p_brand", "p_type", "p_size"], "component")
-    return pairs.select(F.col("l.p_partkey").alias("left_key"), F.col("r.p_partkey").alias("right_key"), t.token_set_ratio(F.col("l.p_name"), F.col("r.p_name")).alias("ratio"))
-
-
 def _cluster_records(spark, d):
     """Documents as records: one cluster per text; source, language and length disagree."""
     doc = table(spark, d, "documents")
@@ -253,80 +173,13 @@ def survivorship_by_rank(spark, d):
     return best.select("component", F.col("lang.source").alias("source"), F.col("lang.value").alias("lang"), "n_sources", "lang_confidence")
 
 
-@query("""WITH r AS (SELECT source AS component, p.doc_id, lang, string_split(p.text, ' ')[1] AS word FROM documents p)
-SELECT component, arg_max(word, length(word) * 10000000 - doc_id) AS word, CAST(CASE WHEN count(DISTINCT word) = 1 THEN 1.0 ELSE greatest(0.5, 1.0 - 0.1 * (count(DISTINCT word) - 1)) END AS DOUBLE) AS word_confidence FROM r GROUP BY component""")
+@query("""WITH w AS (SELECT source, doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS no FROM documents),
+r AS (SELECT source AS component, word, doc_id, no, row_number() OVER (PARTITION BY source ORDER BY length(word) DESC, doc_id, no) AS k FROM w WHERE word <> '')
+SELECT component, any_value(word) FILTER (WHERE k = 1) AS word, CAST(CASE WHEN count(DISTINCT word) = 1 THEN 1.0 ELSE greatest(0.5, 1.0 - 0.1 * (count(DISTINCT word) - 1)) END AS DOUBLE) AS word_confidence FROM r GROUP BY component""")
 def survivorship_longest(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("component"), F.col("source").alias("_source"), "doc_id", F.split("text", " ")[0].alias("word"))
-    return resolve.survivors(rows, "component", (), ("word",), F.lit(0), ["doc_id"]).select("component", F.col("word.value").alias("word"), "word_confidence")
-
-
-def customers(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as conformed records of three feeds that disagree: the same
-    person has the same two-thirds of a key, phones are shared by some."""
-    c = table(spark, d, "customer")
-    k = F.col("c_custkey")
-    return c.select(
-        F.element_at(F.array(F.lit("crm"), F.lit("loyalty"), F.lit("pos")), (k % 3 + 1).cast("int")).alias("_source"), k.cast("string").alias("_source_id"), k.alias("_source_row"),
-        F.concat(F.lit("N"), F.floor(k / 3).cast("string")).alias("first_name"), F.concat(F.lit("Z"), (k % 7).cast("string")).alias("last_name"), F.concat(F.lit("n"), F.floor(k / 3).cast("string")).alias("full_name_normalized"),
-        F.when(k % 4 != 0, F.concat(F.lit("u"), F.floor(k / 3).cast("string"), F.lit("@x.example"))).alias("email_normalized"), F.when(k % 5 == 0, F.concat(F.lit("+1"), F.floor(k / 10).cast("string"))).alias("phone_e164"),
-        F.col("c_mktsegment").alias("street"), F.lit(None).cast("string").alias("city"), F.col("c_nationkey").cast("string").alias("region"), F.lit("US").alias("country"), F.lit(None).cast("string").alias("postal_code"),
-        F.when(k % 2 == 0, F.date_add(F.lit("1970-01-01").cast("date"), (k % 9000).cast("int"))).alias("birth_date"), F.lit(None).cast("timestamp").alias("created_at_utc"), F.lit("").alias("field_quality_flags"),
-    )
-
-
-_CUSTOMERS = """c AS (SELECT ['crm', 'loyalty', 'pos'][c_custkey % 3 + 1] AS s, c_custkey AS k, 'N' || (c_custkey // 3) AS first_name, 'Z' || (c_custkey % 7) AS last_name,
-CASE WHEN c_custkey % 4 <> 0 THEN 'u' || (c_custkey // 3) || '@x.example' END AS e, CASE WHEN c_custkey % 5 = 0 THEN '+1' || (c_custkey // 10) END AS p FROM customer),
-g AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON a.e = b.e UNION SELECT a.k, b.k FROM c a JOIN c b ON a.p = b.p UNION SELECT k, k FROM c),
-r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
-m AS (SELECT a AS k, min(b) AS component FROM r GROUP BY a)"""
-
-
-def _resolved(spark, d):
-    rows = customers(spark, d).withColumn("key", resolve.record_key())
-    edges = resolve.star_edges(rows, "key", "email_normalized").unionByName(resolve.star_edges(rows, "key", "phone_e164"))
-    return resolve.labelled(rows, edges, "key")
-
-
-@query(f"""WITH RECURSIVE {_CUSTOMERS},
-x AS (SELECT component, c.*, CASE s WHEN 'loyalty' THEN 6 WHEN 'crm' THEN 5 ELSE 4 END AS rank, CASE s WHEN 'loyalty' THEN 1 WHEN 'crm' THEN 2 ELSE 3 END AS load FROM c JOIN m USING (k)),
-f AS (SELECT component, arg_max(first_name, length(first_name) * 10000000000 + rank * 100000000 - k) AS first_name, arg_max(last_name, length(last_name) * 10000000000 + rank * 100000000 - k) AS last_name,
- count(DISTINCT first_name) AS nf, count(DISTINCT s) AS n_sources, min(e) AS e FROM x GROUP BY component)
-SELECT first_name || ' ' || last_name AS full_name, CAST(CASE WHEN nf = 1 THEN 1.0 ELSE greatest(0.5, 1.0 - 0.1 * (nf - 1)) END AS DOUBLE) AS first_name_confidence, CAST(n_sources AS INTEGER) AS n_sources FROM f""")
-def golden_master(spark, d):
-    masters, _ = resolve.golden(_resolved(spark, d), Settings(pepper="pep"))
-    return masters.select("full_name", "first_name_confidence", "n_sources")
-
-
-@query(f"WITH RECURSIVE {_CUSTOMERS} SELECT c.s AS _source, CAST(c.k AS VARCHAR) AS _source_id, CASE WHEN n > 1 THEN 'deterministic' ELSE 'singleton' END AS match_method FROM c JOIN m USING (k) JOIN (SELECT component, count(*) AS n FROM m GROUP BY 1) q USING (component)")
-def xref_methods(spark, d):
-    return resolve.golden(_resolved(spark, d), Settings())[1].select("_source", "_source_id", "match_method")
-
-
-@query("""SELECT l_orderkey, l_linenumber, o_custkey, p_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey""")
-def lineage_join(spark, d):
-    o, p = table(spark, d, "orders"), table(spark, d, "part")
-    rows = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return rows.select("l_orderkey", "l_linenumber", "o_custkey", "p_name")
-
-
-@query("""WITH c AS (SELECT ['crm', 'loyalty', 'pos'][c_custkey % 3 + 1] AS s, CAST(c_custkey AS VARCHAR) AS k FROM customer)
-SELECT 'file:' || s AS from_node, count(*) AS n FROM c GROUP BY 1""")
-def lineage_adjacency(spark, d):
-    rows = customers(spark, d)
-    edges = serve.lineage_edges(rows.select(F.col("_source_id").alias("customer_id"), "_source", "_source_id"), rows)
-    return serve.adjacency(edges).where(F.col("from_node").startswith("file:")).select("from_node", F.size("to_nodes").cast("long").alias("n"))
-
-
-@query("""SELECT c_custkey, 'name' AS field, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer""")
-def provenance_unpivot(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
-    return c.unpivot("c_custkey", ["name", "segment", "nation"], "field", "value")
-
-
-@query("SELECT CASE WHEN (SELECT count(*) FROM customer) = 0 THEN 'BLOCKED' WHEN (SELECT count(*) FROM supplier) = 0 THEN 'ALERT' ELSE 'GREEN' END AS status")
-def status_rollup(spark, d):
-    n = [table(spark, d, x).agg(F.count("*").alias(x)) for x in ("customer", "supplier")]
-    return n[0].join(n[1]).select(F.when(F.col("customer") == 0, "BLOCKED").when(F.col("supplier") == 0, "ALERT").otherwise("GREEN").alias("status"))
+    """The longest of all words of a source's documents, the first of equals."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("component"), F.col("source").alias("_source"), "doc_id", F.posexplode(F.split("text", " ")).alias("no", "word"))
+    return resolve.survivors(rows, "component", (), ("word",), F.lit(0), ["doc_id", "no"]).select("component", F.col("word.value").alias("word"), "word_confidence")
 
 
 @query("""SELECT source AS difficulty, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS tn

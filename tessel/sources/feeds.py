@@ -28,31 +28,36 @@ def _bytes(latin: Column) -> Column:
     return F.encode(latin, "ISO-8859-1")
 
 
-def repaired(latin: Column, mode: str = "repair") -> tuple[Column, Column]:
-    """(text, whether its encoding had to be mended) of a line whose bytes are
-    given as Latin-1 characters.  A line that is no UTF-8 is Windows-1252;
-    doubly encoded text is decoded once more; ``compat`` reads it as
-    Windows-1252 instead, which spoils it further."""
-    utf8 = _bytes(latin).cast("string")
-    valid = F.is_valid_utf8(utf8)
-    cp1252 = F.translate(latin, _C1, _CP1252)
+def repaired(lines: DataFrame, mode: str = "repair") -> DataFrame:
+    """``lines``, whose column ``line`` holds a line's bytes as Latin-1
+    characters, with ``text`` and ``_encoding_fixed`` (whether the encoding had
+    to be mended) in its place.  A line that is no UTF-8 is Windows-1252; doubly
+    encoded text is decoded once more; ``compat`` reads it as Windows-1252
+    instead, which spoils it further."""
     marked = F.lit(False)
     for mark in MOJIBAKE:
-        marked = marked | F.contains(utf8, F.lit(mark))
-    narrow = F.translate(utf8, _CP1252.replace("�", ""), "".join(a for a, b in zip(_C1, _CP1252) if b != "�"))
-    twice = _bytes(narrow).cast("string")
-    mended = F.when(~utf8.rlike(r"[\u0080-\u009f]") & narrow.rlike(r"^[\u0000-ÿ]*$") & F.is_valid_utf8(twice), twice).otherwise(utf8)
-    return F.when(~valid, cp1252).when(marked, cp1252 if mode == "compat" else mended).otherwise(utf8), ~valid | marked
+        marked = marked | F.contains("utf8", F.lit(mark))
+    known = [(a, b) for a, b in zip(_C1, _CP1252) if b != "�"]
+    narrow = F.translate("utf8", "".join(b for _, b in known), "".join(a for a, _ in known))
+    # Projections in steps: each value is computed once.
+    df = lines.withColumn("utf8", _bytes(F.col("line")).cast("string")).withColumn("valid", F.is_valid_utf8("utf8")).withColumn("marked", marked)
+    df = df.withColumn("narrow", F.when(F.col("marked") & ~F.col("utf8").rlike(r"[\u0080-\u009f]"), narrow))
+    df = df.withColumn("twice", F.when(F.col("narrow").rlike(r"^[\u0000-ÿ]*$"), _bytes(F.col("narrow")).cast("string")))
+    cp1252 = F.translate("line", _C1, _CP1252)
+    mended = cp1252 if mode == "compat" else F.when(F.is_valid_utf8("twice"), F.col("twice")).otherwise(F.col("utf8"))
+    text = F.when(~F.col("valid"), cp1252).when(F.col("marked"), mended).otherwise(F.col("utf8"))
+    return df.withColumn("text", text).withColumn("_encoding_fixed", ~F.col("valid") | F.col("marked")).drop("line", "utf8", "valid", "marked", "narrow", "twice")
 
 
 def _numbered(df: DataFrame, first: int) -> DataFrame:
     """``df`` of a file scan with ``_source_file`` and ``_source_row``: records
-    counted from ``first`` in their file.  Ids grow inside a scanned split, so a
-    record's number is what earlier splits of its file hold and its place in its
-    own: one aggregation over splits, no sort of records."""
+    counted from ``first``; several files of one path count on in the order of
+    their names, so a number stands for one record of the feed.  Ids grow inside
+    a scanned split, so a record's number is what earlier splits hold and its
+    place in its own: one aggregation over splits, no sort of records."""
     rows = df.select("*", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     splits = rows.groupBy("_source_file", "_block").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_source_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("_source_file", "_block", (before - F.col("_low") + first).alias("_shift"))
     return rows.join(splits, ["_source_file", "_block"]).withColumn("_source_row", F.col("_id") + F.col("_shift")).drop("_block", "_id", "_shift")
 
@@ -70,8 +75,8 @@ def _delimited(spark: SparkSession, separator: str, path: str) -> tuple[DataFram
 
 def _mixed(spark: SparkSession, separator: str, path: str, mode: str) -> tuple[DataFrame, list[str]]:
     lines = spark.read.schema(_strings(["line"])).options(header=False, sep=_NEVER, quote="", encoding="ISO-8859-1", columnPruning=False, mode="PERMISSIVE").csv(path)
-    text, fixed = repaired(F.regexp_replace("line", "^ï»¿", ""), mode)
-    rows = _numbered(lines, 1).select("_source_file", "_source_row", text.alias("text"), fixed.alias("_encoding_fixed")).where("trim(text) != ''")
+    numbered = _numbered(lines, 1).select("_source_file", "_source_row", F.regexp_replace("line", "^ï»¿", "").alias("line"))
+    rows = repaired(numbered, mode).where("trim(text) != ''")
     head = rows.groupBy("_source_file").agg(F.min_by("text", "_source_row").alias("text"), F.min("_source_row").alias("head"))
     first = head.orderBy("_source_file").select("text").first()
     names = [] if first is None else first[0].split(separator)

@@ -53,9 +53,12 @@ FROM embeddings LEFT JOIN comp ON vec_id = comp.a LEFT JOIN (SELECT a, count(*)
 
 OP5 = rf"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
-k AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS key FROM l),
-bp AS (SELECT key, min(doc_id * 1000000 + no) AS first FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= {lines.MIN_SITES}),
-m AS (SELECT k.*, bp.key IS NOT NULL AND doc_id * 1000000 + no <> first AS gone FROM k LEFT JOIN bp USING (key)),
+k AS (SELECT *, len(string_split(key, ' ')) AS words FROM (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS key FROM l)),
+bp AS (SELECT key, min(doc_id * 1000000 + no) AS first, count(DISTINCT source) >= {lines.MIN_SITES} AS wide FROM k WHERE key <> '' GROUP BY key, words
+  HAVING count(DISTINCT source) >= CASE WHEN words > {lines.LONG_WORDS} THEN {lines.LONG_SITES} ELSE {lines.MIN_SITES} END),
+o AS (SELECT k.*, coalesce(wide, false) AND doc_id * 1000000 + no <> first AS boiler, NOT coalesce(wide, true) AND doc_id * 1000000 + no <> first AS passage FROM k LEFT JOIN bp USING (key)),
+q AS (SELECT doc_id, 2 * coalesce(sum(words) FILTER (WHERE passage), 0) <= coalesce(sum(words) FILTER (WHERE key <> ''), 0) AS quotes FROM o GROUP BY doc_id),
+m AS (SELECT o.*, boiler OR (passage AND quotes) AS gone FROM o JOIN q USING (doc_id)),
 t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS n_chars_left, sha256(kept) AS text_sha256
 FROM documents LEFT JOIN t USING (doc_id)

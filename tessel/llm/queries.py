@@ -42,7 +42,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("_text").cast("long").alias("n_chars_left"), F.sha2("_text", 256).alias("text_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

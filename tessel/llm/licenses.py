@@ -37,11 +37,23 @@ SENTENCES = (
     ("gpl-3-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3-notice", "Licensed under the GNU General Public License, version 3."),
     ("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl-2-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc-as-is", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("zlib-as-is", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-liable", "In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("bsl-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("epl-2-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("cc-by-nc-4-notice", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4-notice", "Licensed under CC BY 4.0."),
     ("cc-by-sa-4-notice", "Licensed under CC BY-SA 4.0."),
@@ -58,6 +70,14 @@ RULES = (
     ("Apache-2.0", "permissive", ("apache-notice", "apache-copy", "apache-basis")),
     ("Apache-2.0", "permissive", ("apache-notice", "apache-use", "apache-copy", "apache-basis")),
     ("GPL-3.0-or-later", "copyleft", ("gpl-free", "gpl-hope")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl-2-free", "gpl-hope")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-2-free", "gpl-hope")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl-3-free", "gpl-hope")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl-3-free", "gpl-hope")),
+    ("ISC", "permissive", ("isc-grant", "isc-as-is")),
+    ("Zlib", "permissive", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("BSL-1.0", "permissive", ("bsl-grant",)),
+    ("EPL-2.0", "copyleft", ("epl-2-notice",)),
     ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MIT", "permissive", ("mit-notice",)),

@@ -24,8 +24,6 @@ COSINES, WIDTH, RIDGE, SEED = 256, 4.0, 1e-3, 20240504
 #: Labelled rows that are learned from at most (in expectation, by a hash of
 #: the id), and partitions that sum their normal equations (0.5 MB each).
 TRAIN_ROWS, PARTS = 60_000, 16
-#: Steps of the calibrated curve at most.
-STEPS = 2000
 
 _CLASSES = np.zeros(256, np.int8)
 for _k, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), (32, 9), (10,), b".,;:", b"!?", b"'\"()-", b"#$%&*+/<=>@[\\]^_`{|}~", range(128, 256)), 1):
@@ -160,9 +158,6 @@ def fit(rows: DataFrame) -> Model:
     if len(rest):
         x = np.frombuffer(b"".join(rest["x"]), np.float64).reshape(-1, STATISTICS)
         model.steps, model.values = isotonic(model.cosines(x) @ model.weight, rest["y"].to_numpy())
-        if len(model.steps) > STEPS:
-            keep = np.unique(np.linspace(0, len(model.steps) - 1, STEPS).astype(int))
-            model.steps, model.values = model.steps[keep], model.values[keep]
     return model
 
 

@@ -253,6 +253,47 @@ def test_secrets(spark):
     assert got[3] == got[4] == got[5] == ([], [])
 
 
+def test_random_runs(spark):
+    """Keys outside the fixed patterns among ordinary runs: the cut-offs are the
+    Benjamini-Hochberg rule's, few discoveries are false, long keys are found."""
+    words = "Haus strasse liebe welt jour nuit maison lumiere casa perro tiempo ventana river stone paper window garden letter winter summer mountain forest market bridge kitchen doctor school teacher".split()
+    rng = np.random.default_rng(13)
+    ways = [lambda w: w.lower(), lambda w: w.capitalize(), lambda w: w.lower() + "_", lambda w: w.lower() + "/", lambda w: w.lower() + str(rng.integers(100))]
+    rows = []
+    for k in range(2500):
+        run = "".join(ways[k % 5](words[i]) for i in rng.integers(0, len(words), 30))[: int(rng.integers(20, 90))]
+        rows.append((run, None))
+    for name, alphabet, _ in secrets.ENCODINGS:
+        for n in (40, 64):
+            rows += [("".join(alphabet[i] for i in rng.integers(0, len(alphabet), n)), (name, n)) for _ in range(20) if name != "hex"]  # hex runs are a fixed pattern
+    docs = spark.createDataFrame([(i, f"see {run} there") for i, (run, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    found = {i for i, spans in got.items() if any(s.startswith("random:") for s in spans)}
+    # The rule itself, class by class, on log p in the operator's steps.
+    tested = [(i, len(run), int(-secrets.battery(run) * secrets.STEPS)) for i, (run, _) in enumerate(rows) if not got[i] or got[i][0].startswith("random:")]
+    want = set()
+    for k in range(len(secrets.LENGTHS) + 1):
+        mine = sorted(((-b, i) for i, n, b in tested if np.searchsorted(secrets.LENGTHS, n, "right") == k))
+        passing = [r for r, (b, _) in enumerate(mine, 1) if 10 ** (b / secrets.STEPS) * len(mine) <= secrets.FDR * sum(x <= b for x, _ in mine)]
+        want |= {i for b, i in mine if passing and b <= mine[max(passing) - 1][0]}
+    assert found == want
+    false = sum(rows[i][1] is None for i in found)
+    assert false <= 0.03 * len(found)
+    recall = {k: np.mean([i in found for i, (_, kind) in enumerate(rows) if kind == k]) for k in {kind for _, kind in rows if kind}}
+    assert all(recall[name, 64] >= 0.9 for name in ("letters", "letters and digits", "base64", "base64url", "any"))
+    assert np.mean([v for (_, n), v in recall.items() if n == 64]) >= 0.7
+
+
+def test_secrets_are_linear():
+    import time
+
+    text = "0123456789abcdef0 kJ8fQz3LmP0xYt7RvW2sAb9NcD4eGh6i token=abcdefghijklm " * 14_000
+    secrets.ordinary()
+    began = time.process_time()
+    list(secrets._scan(secrets.ordinary())(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])))
+    assert time.process_time() - began < 5
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "[INST] \\ </s> <|turn|>"), (1, 1, "assistant", "<|end|>\n\\\\<s>"), (1, 1, "assistant", ""), (2, None, None, None), (None, 3, "assistant", "é<|"), *queries.HOSTILE]
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -309,6 +350,76 @@ def test_wrapped_licenses(spark):
     assert got == {1: ["MIT"], 2: ["GPL-3.0-or-later"], 3: ["BSD-3-Clause", "BSD-2-Clause"], 4: ["MIT"], 5: ["GPL-3.0-or-later"], 6: [], 7: ["MPL-2.0"]}
 
 
+#: Licence headers as files carry them, written down here on their own.
+HEADERS = {
+    "GPL-2.0-or-later": """/*
+ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main(void);""",
+    "LGPL-2.1-or-later": """// This library is free software; you can redistribute it and/or
+// modify it under the terms of the GNU Lesser General Public
+// License as published by the Free Software Foundation; either
+// version 2.1 of the License, or (at your option) any later version.
+//
+// This library is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+// Lesser General Public License for more details.""",
+    "AGPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as
+# published by the Free Software Foundation, either version 3 of the
+# License, or (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU Affero General Public License for more details.""",
+    "ISC": """Copyright 2020 A. Author
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES.""",
+    "Zlib": """  This software is provided 'as-is', without any express or implied
+  warranty.  In no event will the authors be held liable for any damages
+  arising from the use of this software.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:""",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "EPL-2.0": """ * This program and the accompanying materials are made
+ * available under the terms of the Eclipse Public License 2.0
+ * which is available at https://www.eclipse.org/legal/epl-2.0/""",
+}
+
+
+def test_license_headers(spark):
+    docs = spark.createDataFrame([(i, f"Some words before.\n\n{text}\n\nAnd after.") for i, text in enumerate(HEADERS.values())], "doc_id long, text string")
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in licenses.scan_licenses(docs).collect()}
+    assert got == {i: [name] for i, name in enumerate(HEADERS)}
+
+
 @pytest.mark.parametrize("operator, label, least", [(quality.quality, "quality", 0.95), (toxicity.toxicity, "toxic", 0.95)])
 def test_held_out_accuracy(spark, operator, label, least):
     read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")

@@ -18,7 +18,7 @@ from tessel.storage import table
 
 PEPPER = "pep"
 #: Lower thresholds than the defaults, so that the sample's fuzzy pairs reach the review queue.
-SETTINGS = Settings(pepper=PEPPER, review=0.25, auto_merge=0.9)
+SETTINGS = Settings(pepper=PEPPER, review=0.45, auto_merge=0.9)
 
 
 # ---- from files to conformed records ----------------------------------------
@@ -254,7 +254,7 @@ def blocked_pairs_scored(spark, d):
     return _scored(spark, d).select("left_key", "right_key", *[F.round(c, 9).alias(c) for c in ("name", "address", "phone", "email", "dob", "score")])
 
 
-@query(f"WITH RECURSIVE {_SCORED} SELECT CASE WHEN score >= 0.9 THEN 'auto' WHEN score >= 0.25 THEN 'review' ELSE 'drop' END AS band, count(*) AS n FROM sc GROUP BY 1")
+@query(f"WITH RECURSIVE {_SCORED} SELECT CASE WHEN score >= 0.9 THEN 'auto' WHEN score >= 0.45 THEN 'review' ELSE 'drop' END AS band, count(*) AS n FROM sc GROUP BY 1")
 def banding(spark, d):
     return _scored(spark, d).groupBy(resolve.band(F.col("score"), SETTINGS).alias("band")).agg(F.count("*").alias("n"))
 
@@ -269,7 +269,7 @@ def _uuid5(name: str) -> str:
     return f"left({h}, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 
 
-@query(f"""WITH RECURSIVE {_SCORED} SELECT CASE WHEN left_key LIKE 'pos::%' THEN NULL ELSE {_uuid5("'review:' || left_key || '|' || right_key")} END AS review_id, left_key, right_key, CAST(round(score, 9) AS DOUBLE) AS score FROM sc WHERE score >= 0.25 AND score < 0.9""")
+@query(f"""WITH RECURSIVE {_SCORED} SELECT CASE WHEN left_key LIKE 'pos::%' THEN NULL ELSE {_uuid5("'review:' || left_key || '|' || right_key")} END AS review_id, left_key, right_key, CAST(round(score, 9) AS DOUBLE) AS score FROM sc WHERE score >= 0.45 AND score < 0.9""")
 def review_pairs(spark, d):
     """Pairs for the stewards, with their stable ids (not of POS pairs, whose keys hold row numbers)."""
     left, right = _plain_key("left_key"), _plain_key("right_key")
@@ -277,7 +277,7 @@ def review_pairs(spark, d):
     return _resolved(spark, d)[1].select(F.when(~pos, F.col("review_id")).alias("review_id"), F.least(left, right).alias("left_key"), F.greatest(left, right).alias("right_key"), F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH RECURSIVE {_SCORED}, q AS (SELECT * FROM sc WHERE score >= 0.25 AND score < 0.9 AND left_key NOT LIKE 'pos::%'), top AS (SELECT * FROM q ORDER BY round(score, 9) DESC, left_key || '|' || right_key LIMIT 50)
+@query(f"""WITH RECURSIVE {_SCORED}, q AS (SELECT * FROM sc WHERE score >= 0.45 AND score < 0.9 AND left_key NOT LIKE 'pos::%'), top AS (SELECT * FROM q ORDER BY round(score, 9) DESC, left_key || '|' || right_key LIMIT 50)
 SELECT left_key, right_key, l.full_name_normalized AS left_name, r.street AS right_street, concat_ws(', ', r.street, r.city, r.region, r.postal_code) AS right_address FROM top JOIN cc l ON l.key = left_key JOIN cc r ON r.key = right_key""")
 def review_topk(spark, d):
     z = zone(spark, d)
@@ -290,7 +290,7 @@ def review_topk(spark, d):
 _DECIDED = "left_key NOT LIKE 'pos::%' AND length(left_key) % 2 = 0"
 
 
-@query(f"""WITH RECURSIVE {_SCORED} SELECT left_key, right_key FROM sc WHERE score >= 0.25 AND score < 0.9 AND NOT ({_DECIDED}) AND left_key NOT LIKE 'pos::%'""")
+@query(f"""WITH RECURSIVE {_SCORED} SELECT left_key, right_key FROM sc WHERE score >= 0.45 AND score < 0.9 AND NOT ({_DECIDED}) AND left_key NOT LIKE 'pos::%'""")
 def open_reviews_anti_audit(spark, d):
     reviews = _resolved(spark, d)[1]
     done = reviews.where(_DECIDED).select(F.lit("review_decision").alias("event_type"), F.col("left_key").alias("customer_id"), F.col("right_key").alias("other_id"))

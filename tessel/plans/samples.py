@@ -52,9 +52,9 @@ SAMPLES = {
         f"CASE {_TEST} END", dict(dob_zero_date=f"{K} % 2 = 0", phone_invalid=f"{K} % 3 = 0", zip_padded="true")),
     "acq_rheinland": Sample(
         dict(Kundennr=f"'RH-' || {TEXT}", Name=_named(f"{LAST} || ', ' || {FIRST}", "'Mouse Mickey Mouse'"), Strasse=f"'Hauptstraße ' || {TEXT}", PLZ="'10115'", Ort="'Köln'", Telefon=f"'030 5' || {SIX}",
-             Email=f"upper('u' || {TEXT} || '@web.de')", Geburtsdatum=f"CASE WHEN {K} % 11 = 0 THEN '31.02.1970' ELSE {DAY} || '.09.1975' END", Umsatz="'12.840,55'", Newsletter="'Ja'"),
+             Email=f"upper('u' || {TEXT} || '@web.de')", Geburtsdatum=f"CASE WHEN {K} % 11 = 0 THEN '31.02.1970' ELSE {DAY} || '.09.' || {YEAR} END", Umsatz="'12.840,55'", Newsletter="'Ja'"),
         dict(_source_id=f"'RH-' || {TEXT}", email_normalized=f"'u' || {TEXT} || '@web.de'", phone_e164=f"'+49305' || {SIX}", street=f"'Hauptstraße ' || {TEXT}", city="'Köln'", region="'DE'", postal_code="'10115'", country="'DE'",
-             birth_date=f"'1975-09-' || {DAY}"),
+             birth_date=f"{YEAR} || '-09-' || {DAY}"),
         f"CASE {_TEST} WHEN {K} % 11 = 0 THEN 'invalid_date' END", dict(encoding_lossy=f"{K} % 3 = 0")),
     "acq_sunset": Sample(
         dict(acct=f"CASE WHEN {K} % 17 <> 0 THEN 'SC' || {TEXT} END", name=f"CASE WHEN {K} % 17 <> 0 THEN {_named(f'{FIRST} || chr(32) || {LAST}')} END", address=f"CASE WHEN {K} % 17 <> 0 THEN {TEXT} || ' Elm St' || chr(10) || 'Rear' END", city="CAST(NULL AS STRING)", st="CAST(NULL AS STRING)",

@@ -13,8 +13,8 @@ from tessel.functions import text as t
 from tessel.operators import checks, conform, resolve, serve
 from tessel.plans import samples, warehouse
 from tessel.plans.catalog import Query, query
-from tessel.plans.samples import FIRST, K, LAST, SAMPLES, zone
-from tessel.storage import table
+from tessel.plans.samples import K, SAMPLES, zone
+from tessel.storage import table, written
 
 PEPPER = "pep"
 #: Lower thresholds than the defaults, so that the sample's fuzzy pairs reach the review queue.
@@ -259,6 +259,24 @@ def banding(spark, d):
     return _scored(spark, d).groupBy(resolve.band(F.col("score"), SETTINGS).alias("band")).agg(F.count("*").alias("n"))
 
 
+_kept: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def _once(make):
+    """The tables that ``make`` gives, written once a session: several queries
+    show other sides of them."""
+
+    @functools.wraps(make)
+    def get(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+        at = (spark.sparkContext.applicationId, d, make.__name__)
+        if at not in _kept:
+            _kept[at] = tuple(written(df, make.__name__.strip("_")) for df in make(spark, d))
+        return _kept[at]
+
+    return get
+
+
+@_once
 def _resolved(spark, d):
     z = zone(spark, d)
     return resolve.resolve(z.customers, z.raw["loyalty"], SETTINGS)
@@ -328,14 +346,17 @@ phone_e164_source AS phone_source, phone_e164_confidence AS phone_confidence, le
 postal_code, postal_code_source, country, country_source, CAST(record_confidence AS DOUBLE) AS record_confidence, CAST(n_sources AS INTEGER) AS n_sources, created AS created_at"""
 
 
-def _golden(spark, d):
+def _made(spark, d):
     return resolve.golden(resolve.labelled(*_edges(spark, d), "key"), SETTINGS)
 
 
+_golden = _once(_made)
+
+
 @query(f"WITH RECURSIVE {_GOLDEN} SELECT {_MASTER} FROM gm")
 def golden_master(spark, d):
-    """All columns of the golden records of the sample feeds."""
-    out = _golden(spark, d)[0]
+    """All columns of the golden records of the sample feeds, made anew."""
+    out = _made(spark, d)[0]
     return out.withColumn("birth_date", F.col("birth_date").cast("string")).withColumn("created_at", F.date_format("created_at_utc", "yyyy-MM-dd")).drop("created_at_utc")
 
 

@@ -13,6 +13,7 @@ from tessel.operators import conform, resolve, serve
 from tessel.operators.components import connected_components
 from tessel.plans import pipeline, warehouse
 from tessel.sources.feeds import repaired
+from tessel.streaming import arrivals
 
 
 def one(spark, column):
@@ -158,3 +159,15 @@ def test_parity(spark):
     for name in QUERIES:
         said = compare(spark, "/root/testdata/sf0.001", name)
         assert not said.startswith("FAIL"), (name, said)
+
+
+def test_stream(spark, tmp_path):
+    """Files that arrive are conformed batch by batch; late copies are dropped."""
+    columns = ", ".join(f"{c} string" for c in CONTRACTS["loyalty"].columns)
+    schema = f"{columns}, _source string, _source_row long, _ingested_at timestamp, _raw_payload string"
+    row = lambda i, name, at: (f"m{i}", name, "A@x.com", "", "gold", "1", "2020-01-01", "1979-03-14", "s", "1", "loyalty", i, datetime.datetime(2024, 1, 1, at), f"p{i}")
+    for rows in ([row(2, "Ann Lee", 1), row(3, "Mickey Mouse", 1)], [row(2, "Ann Lee", 1), row(4, "Bob Roe", 2)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/raw")
+        arrivals.conformed_stream(spark, "loyalty", f"{tmp_path}/raw", schema, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out/customer").select("_source_id").collect()) == ["m2", "m4"]
+    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/out/_reject").select("_source_id").collect()] == ["m3"]

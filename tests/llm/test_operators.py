@@ -231,7 +231,7 @@ def test_fewest_bins():
         return best[(1 << len(lengths)) - 1][0]
 
     rng = np.random.default_rng(3)
-    cases = [([60, 52, 49, 35, 34, 25, 23, 13], 100)] + [(list(map(int, rng.integers(8, 60, 10))), 100) for _ in range(25)]
+    cases = [([60, 52, 49, 35, 34, 25, 23, 13], 100)] + [([20, 17, 16, 15, 11, 9, 9, 8, 7, 5], 30)] + [(list(map(int, rng.integers(*((8, 60), (15, 45), (20, 55))[k % 3], 4 + k % 7))), 100) for k in range(1000)]
     for lengths, capacity in cases:
         bins = packing.complete_bins(np.bincount(lengths, minlength=capacity + 1), capacity)
         assert sorted(n for b, times in bins for n in b * times) == sorted(lengths) and all(sum(b) <= capacity for b, _ in bins)

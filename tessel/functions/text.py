@@ -6,7 +6,7 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType
 
 #: Strings that stand for a missing value, compared trimmed and lower-case.
 SENTINELS = ("", "null", "none", "n/a", "na", "-", "--", "00000000", "0000-00-00", "00.00.0000", "0/0/0", "1900-01-01")
@@ -42,9 +42,16 @@ _WIDE = {c: plain for c, plain in _SEVERAL.items() if c < "\u0250" or "\ufb00" <
 
 def without_accents(c: Column) -> Column:
     """Letters without their marks, compatibility forms as plain characters."""
-    for mark, plain in _WIDE.items():
-        c = F.replace(c, F.lit(mark), F.lit(plain))
-    return F.translate(c, _MARKED, _PLAIN)
+
+    def folded(x: Column) -> Column:
+        wide = x
+        for mark, plain in _WIDE.items():
+            wide = F.replace(wide, F.lit(mark), F.lit(plain))
+        x = F.when(x.rlike("[" + "".join(_WIDE) + "]"), wide).otherwise(x)
+        return F.translate(x, _MARKED, _PLAIN)
+
+    # Bound once, so that a long expression is not repeated; texts in ASCII stay as they are.
+    return F.transform(F.array(c), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), folded(x)).otherwise(x))[0]
 
 
 def nonempty(c: Column) -> Column:
@@ -219,26 +226,33 @@ def _lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.arrow_udf(returnType=IntegerType())
-def _lcs(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else _lcs_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+def _token_set(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    if both and (x <= y or y <= x):
+        return 1.0
+    left, right = (" ".join(filter(None, (both, " ".join(sorted(s - (x & y)))))) for s in (x, y))
+    ratio = 2.0 * _lcs_length(left, right) / (len(left) + len(right))
+    # The shared words are the start of either side, so these ratios need no table.
+    return max(ratio, *(2.0 * len(both) / (len(both) + len(s)) if both else 0.0 for s in (left, right)))
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1.0).otherwise(2.0 * _lcs(a, b) / total)
+@F.arrow_udf(returnType=DoubleType())
+def _token_sets(a: pa.Array, b: pa.Array) -> pa.Array:
+    known: dict[tuple, float | None] = {}  # a batch's; names repeat
+    out = []
+    for pair in zip(a.to_pylist(), b.to_pylist()):
+        if pair not in known:
+            known[pair] = None if None in pair else _token_set(*pair)
+        out.append(known[pair])
+    return pa.array(out, pa.float64())
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0..1: the best Indel ratio among the shared words and the shared words
     with either side's other words; 1 if one side has no other words.  Null if
-    either side is."""
-    tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != "")))
-    x, y = tokens(a), tokens(b)
-    both = F.array_join(F.array_intersect(x, y), " ")
-    only_x, only_y = F.array_join(F.array_except(x, y), " "), F.array_join(F.array_except(y, x), " ")
-    left, right = F.trim(F.concat_ws(" ", both, only_x)), F.trim(F.concat_ws(" ", both, only_y))
-    # One side is the start of the other: their ratio needs no table.
-    start = lambda whole: F.when(F.length(both) > 0, 2.0 * F.length(both) / (F.length(both) + F.length(whole))).otherwise(0.0)
-    inside = (F.length(both) > 0) & ((only_x == "") | (only_y == ""))
-    return F.when(a.isNull() | b.isNull(), None).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(inside, 1.0).otherwise(F.greatest(indel_ratio(left, right), start(left), start(right)))
+    either side is.  Arrow batches: arrays of words and subsequence tables as
+    Column expressions copy more than they compute."""
+    return _token_sets(a, b)

@@ -2,14 +2,21 @@
 
 Each round is two grouped minima and two joins over the edge table; the number
 of rounds grows with the logarithm of the longest path, not with its length.
-Minima combine map-side.  Nodes with more than a ten-thousandth of all edge
+Minima combine map-side.  A graph of at most SMALL edges is one task's instead.
+Nodes with more than a ten-thousandth of all edge
 ends, of which there can be no more than 10,000, are joined by broadcast, so no
 task gets more rows of one node than that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessel.storage import discard, written
 
@@ -20,6 +27,34 @@ HOT = 10_000
 FEW = 200
 
 
+#: Edges up to which one task finds all components (a few megabytes).
+SMALL = 100_000
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (hi, lo): smallest labels go over edges, and
+    from label to label, until none changes."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    edges = pa.Table.from_batches(held).combine_chunks()
+    hi, lo = (edges.column(c).combine_chunks() for c in ("hi", "lo"))
+    nodes = pc.unique(pa.concat_arrays([hi, lo]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    i, j = (pc.index_in(x, nodes).to_numpy() for x in (hi, lo))
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        for ends in (i, j, label[i], label[j]):
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], names=["node", "root"])
+
+
 def _state(edges: DataFrame) -> tuple[bool, int, int]:
     """(whether each component is a star: every hi has one lo and no lo is a
     hi; the edge ends; the most of one node)."""
@@ -53,6 +88,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     edges with a null end are ignored.  No edges give no rows."""
     a, b = F.col(src), F.col(dst)
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
+    if now.count() <= SMALL:
+        kind = now.schema["hi"].dataType
+        return now.coalesce(1).mapInArrow(_in_one_task, StructType([StructField("node", kind), StructField("root", kind)]))
     while True:
         done, ends, top = _state(now)
         if done:

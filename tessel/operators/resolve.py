@@ -111,10 +111,11 @@ RANKED = ("city", "region", "postal_code", "country", "birth_date", "created_at_
 LONGEST = ("first_name", "last_name", "street")
 
 
-def survivors(records: DataFrame, group: str, ranked: tuple[str, ...], longest: tuple[str, ...], rank: Column, order: list[str]) -> DataFrame:
+def survivors(records: DataFrame, group: str, ranked: tuple[str, ...], longest: tuple[str, ...], rank: Column, order: list[str], untold: tuple[str, ...] = ()) -> DataFrame:
     """Per group and field: value, source and confidence of the survivor.
     ``ranked`` fields take the best rank, ``longest`` the longest value and then
-    the best rank; ties go to the first in ``order``.  One hash aggregation."""
+    the best rank; ties go to the first in ``order``.  Fields in ``untold`` have
+    no confidence, which spares their distinct counts.  One aggregation."""
     aggs = []
     for name in (*ranked, *longest):
         c = F.col(name)
@@ -122,8 +123,11 @@ def survivors(records: DataFrame, group: str, ranked: tuple[str, ...], longest:
         size = F.length(c.cast("string")) if name in longest else F.lit(0)
         best = F.struct(size.alias("n"), rank.alias("rank"), *[(-F.col(o)).alias(o) for o in order])
         pick = F.max_by(F.when(there, F.struct(c.alias("value"), F.col("_source").alias("source"))), F.when(there, best))
+        aggs.append(pick.alias(name))
+        if name in untold:
+            continue
         distinct = F.count_distinct(F.when(there, c.cast("string")))
-        aggs += [pick.alias(name), F.when(distinct == 0, 0.0).when(distinct == 1, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - 0.1 * (distinct - 1))).alias(f"{name}_confidence")]
+        aggs += [F.when(distinct == 0, 0.0).when(distinct == 1, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - 0.1 * (distinct - 1))).alias(f"{name}_confidence")]
     return records.groupBy(group).agg(*aggs, F.count_distinct("_source").cast("int").alias("n_sources"), F.count("*").alias("n_records"))
 
 
@@ -139,7 +143,7 @@ def golden(records: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame
     ranks = F.create_map(*[F.lit(x) for pair in settings.ranks.items() for x in pair])
     loads = F.create_map(*[F.lit(x) for i, k in enumerate(CONTRACTS) for x in (k, i)])
     rows = records.withColumn("_load", F.coalesce(loads[F.col("_source")], F.lit(99)))
-    best = survivors(rows, "component", RANKED, LONGEST, F.coalesce(ranks[F.col("_source")], F.lit(0)), ["_load", "_source_row"])
+    best = survivors(rows, "component", RANKED, LONGEST, F.coalesce(ranks[F.col("_source")], F.lit(0)), ["_load", "_source_row"], ("city", "region", "postal_code", "country", "created_at_utc"))
     # Names, dates and keys matter only where no record has an address or a number, which no large cluster lacks.
     bare = lambda c: F.array_sort(F.collect_set(F.when(F.col("email_normalized").isNull() & F.col("phone_e164").isNull(), c)))
     ids = rows.groupBy("component").agg(F.min("email_normalized").alias("e"), F.min("phone_e164").alias("p"), bare(F.col("full_name_normalized")).alias("names"), bare(F.col("birth_date").cast("string")).alias("dates"), bare(F.col("key")).alias("keys"))

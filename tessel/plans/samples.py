@@ -24,7 +24,8 @@ LAST = f"CASE {K} % 5 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Garcia' WHEN 2 THEN 'Wagn
 PLAIN = f"replace(lower({FIRST} || ' ' || {LAST}), 'ü', 'u')"
 FOUR = f"lpad(CAST({K} % 10000 AS STRING), 4, '0')"
 SIX = f"lpad(CAST({K} % 1000000 AS STRING), 6, '0')"
-YEAR = f"CAST(1930 + {K} % 60 AS STRING)"
+YEAR = f"CAST(1930 + ({K} + CAST(floor({K} / 60.0) AS INT)) % 60 AS STRING)"
+SHORT = f"({K} + CAST(floor({K} / 100.0) AS INT)) % 100"
 DAY = f"lpad(CAST({K} % 28 + 1 AS STRING), 2, '0')"
 TEST = f"{K} % 35 = 0"
 
@@ -63,9 +64,9 @@ SAMPLES = {
         f"CASE WHEN {K} % 17 = 0 THEN 'all_null' {_TEST} END"),
     "crm": Sample(
         dict(contact_id=f"'C' || {TEXT}", account_name="'NULL'", full_name=_named(f"{LAST} || ', ' || {FIRST}", "'Vandelay, Art'"), email=f"'First.' || {TEXT} || '+tag@GoogleMail.com'", phone="'NULL'", mailing_street="'NULL'", mailing_city=f"'Troy'", mailing_state="'mi'",
-             mailing_zip=f"{FOUR} || '-1234'", date_of_birth=f"CASE WHEN {K} % 13 = 0 THEN '6/31/22' ELSE '7/1/' || lpad(CAST({K} % 100 AS STRING), 2, '0') END", lead_source="'Web'", created_date=f"'3/' || CAST({K} % 28 + 1 AS STRING) || '/2021'"),
+             mailing_zip=f"{FOUR} || '-1234'", date_of_birth=f"CASE WHEN {K} % 13 = 0 THEN '6/31/22' ELSE '7/1/' || lpad(CAST({SHORT} AS STRING), 2, '0') END", lead_source="'Web'", created_date=f"'3/' || CAST({K} % 28 + 1 AS STRING) || '/2021'"),
         dict(_source_id=f"'C' || {TEXT}", email_normalized=f"'first' || {TEXT} || '@gmail.com'", city="'Troy'", region="'MI'", postal_code=f"'0' || {FOUR} || '-1234'", country="'US'",
-             birth_date=f"CASE WHEN {K} % 100 >= 69 THEN '19' ELSE '20' END || lpad(CAST({K} % 100 AS STRING), 2, '0') || '-07-01'", created=f"'2021-03-' || {DAY}"),
+             birth_date=f"CASE WHEN {SHORT} >= 69 THEN '19' ELSE '20' END || lpad(CAST({SHORT} AS STRING), 2, '0') || '-07-01'", created=f"'2021-03-' || {DAY}"),
         f"CASE {_TEST} WHEN {K} % 13 = 0 THEN 'invalid_date' END", dict(zip_padded="true")),
     "ecommerce": Sample(
         dict(customer_id=f"'ec_' || {TEXT}", first_name=_named(f"upper({FIRST})", "'mickey'"), last_name=_named(f"lower({LAST})", "'mouse'"), email=f"'a.b' || {TEXT} || '+x@yahoo.com'", phone=f"'6175' || {SIX}", created_at=f"CASE WHEN {K} % 19 = 0 THEN 'soon' ELSE '2024-01-' || {DAY} || 'T03:04:05Z' END",

@@ -5,11 +5,12 @@ import json
 import unicodedata
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessel.contracts import CONTRACTS, Settings
 from tessel.functions import text as t
-from tessel.operators import conform, resolve, serve
+from tessel.operators import components, conform, resolve, serve
 from tessel.operators.components import connected_components
 from tessel.plans import pipeline, warehouse
 from tessel.sources.feeds import repaired
@@ -56,11 +57,15 @@ def test_encoding(spark):
             assert want is None or tuple(repaired(line, mode).first()) == want, (text, mode)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [components.SMALL, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    words = spark.createDataFrame([("b", "é"), ("é", "Z"), ("q", "r"), (None, "x")], "src string, dst string")
+    assert {r["node"]: r["root"] for r in connected_components(words).collect()} == {"b": "Z", "é": "Z", "Z": "Z", "q": "q", "r": "q"}
     # Hubs beyond what one task takes, one behind the other.
     hubs = [(0, i) for i in range(1, 600)] + [(i, 10000 + i) for i in range(1, 600)] + [(20000, 10000 + i) for i in range(1, 500)] + [(30000, 30001)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(hubs, "src long, dst long")).collect()}

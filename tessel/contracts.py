@@ -44,13 +44,36 @@ CRM_HEADERS = {
 CONTRACTS = {
     c.name: c
     for c in (
-        Contract("acq_northwind", ("CUSTNO", "CUSTNAME", "ADDR1", "CITY", "ST", "ZIP", "PHONE", "DTADDED", "DTBIRTH", "STATUS"), separator="|", issues=("names cut at 20 characters", "zip codes without leading zero", "00000000 for no date")),
-        Contract("acq_rheinland", ("Kundennr", "Name", "Strasse", "PLZ", "Ort", "Telefon", "Email", "Geburtsdatum", "Umsatz", "Newsletter"), "mixed", ";", encoding="utf-8 and windows-1252 by line", issues=("doubly encoded lines", "day before month", "decimal commas")),
-        Contract("acq_sunset", ("acct", "name", "address", "city", "st", "zip", "phone", "signup_dt", "email", "notes"), encoding="utf-8, lossy", issues=("line breaks in quotes", "columns moved by one", "serial dates")),
+        Contract(
+            "acq_northwind", ("CUSTNO", "CUSTNAME", "ADDR1", "CITY", "ST", "ZIP", "PHONE", "DTADDED", "DTBIRTH", "STATUS"), separator="|",
+            issues=("names cut at 20 characters", "zip codes without leading zero", "00000000 for no date")
+        ),
+        Contract(
+            "acq_rheinland", ("Kundennr", "Name", "Strasse", "PLZ", "Ort", "Telefon", "Email", "Geburtsdatum", "Umsatz", "Newsletter"), "mixed", ";",
+            encoding="utf-8 and windows-1252 by line", issues=("doubly encoded lines", "day before month", "decimal commas")
+        ),
+        Contract(
+            "acq_sunset", ("acct", "name", "address", "city", "st", "zip", "phone", "signup_dt", "email", "notes"), encoding="utf-8, lossy",
+            issues=("line breaks in quotes", "columns moved by one", "serial dates")
+        ),
         Contract("crm", tuple(CRM_HEADERS.values()), rename=CRM_HEADERS, encoding="utf-8 with a byte order mark", issues=("NULL as text", "years of two digits")),
-        Contract("ecommerce", ("customer_id", "first_name", "last_name", "email", "phone", "created_at", "line1", "city", "region", "postal_code", "country", "marketing_opt_in", "total_orders"), "json", issues=("addresses nested or missing", "tags in e-mail addresses")),
-        Contract("loyalty", ("member_id", "full_name", "email", "phone", "tier", "points_balance", "enrolled_at", "birth_date", "home_store", "pos_customer_id"), issues=("999999 for no POS customer", "0000-00-00 for no date")),
-        Contract("pos", ("CUST_ID", "NAME", "PHONE", "EMAIL", "ADDR", "CITY", "STATE", "ZIP", "DOB", "LAST_TXN_DATE", "LIFETIME_SPEND"), encoding="utf-8, lossy", issues=("customer numbers used again", "test spends", "surname first")),
+        Contract(
+            "ecommerce",
+            (
+                "customer_id", "first_name", "last_name", "email", "phone", "created_at", "line1", "city", "region", "postal_code", "country",
+                "marketing_opt_in", "total_orders"
+            ),
+            "json", issues=("addresses nested or missing", "tags in e-mail addresses")
+        ),
+        Contract(
+            "loyalty",
+            ("member_id", "full_name", "email", "phone", "tier", "points_balance", "enrolled_at", "birth_date", "home_store", "pos_customer_id"),
+            issues=("999999 for no POS customer", "0000-00-00 for no date")
+        ),
+        Contract(
+            "pos", ("CUST_ID", "NAME", "PHONE", "EMAIL", "ADDR", "CITY", "STATE", "ZIP", "DOB", "LAST_TXN_DATE", "LIFETIME_SPEND"),
+            encoding="utf-8, lossy", issues=("customer numbers used again", "test spends", "surname first")
+        ),
     )
 }
 LINEAGE = ("_source", "_source_file", "_source_row", "_ingested_at", "_raw_payload")

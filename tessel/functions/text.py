@@ -99,7 +99,9 @@ def split_name(c: Column, surnames: tuple[str, ...] = ()) -> tuple[Column, Colum
     known = F.array(*[F.lit(s) for s in surnames]).cast("array<string>")
     word = F.upper(words[0])
     front = (F.upper(t) == t) & t.rlike(r"\p{L}") & (F.array_contains(known, word) | F.array_contains(known, F.upper(without_accents(word))))
-    first = F.when(comma, nonempty(rest)).when(n < 2, None).when(front, F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")).otherwise(F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), " "))
+    first = F.when(comma, nonempty(rest)).when(n < 2, None).when(
+        front, F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")
+    ).otherwise(F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), " "))
     last = F.when(comma, nonempty(head)).when(n == 1, words[0]).when(front, words[0]).otherwise(F.element_at(words, -1))
     return titled(first), titled(last)
 

@@ -75,7 +75,10 @@ def not_null(df: DataFrame, key: tuple[str, ...], table: str) -> DataFrame:
     return _check(n, f"not_null:{table}", "BLOCK", F.concat(F.col("n").cast("string"), F.lit(" rows without a key")), F.col("n") == 0)
 
 
-def run_all(customers: DataFrame, drift: DataFrame | None = None, counts: DataFrame | None = None, baseline: DataFrame | None = None, loyalty: DataFrame | None = None, pos: DataFrame | None = None) -> DataFrame:
+def run_all(
+    customers: DataFrame, drift: DataFrame | None = None, counts: DataFrame | None = None, baseline: DataFrame | None = None,
+    loyalty: DataFrame | None = None, pos: DataFrame | None = None
+) -> DataFrame:
     """All checks of the conformed records, one row each."""
     if counts is None:
         counts = customers.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"))

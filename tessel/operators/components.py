@@ -58,7 +58,9 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _state(edges: DataFrame) -> tuple[bool, int, int]:
     """(whether each component is a star: every hi has one lo and no lo is a
     hi; the edge ends; the most of one node)."""
-    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
     per = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"), F.count("*").alias("n"))
     bad, size, most = per.agg(F.expr("count_if(up > 1 or (up = 1 and down = 1))"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     return bad == 0, size, most

@@ -26,7 +26,12 @@ def star_edges(records: DataFrame, node: str, *key: str) -> DataFrame:
 def foreign_edges(loyalty: DataFrame, customers: DataFrame) -> DataFrame:
     """Edges from loyalty members (rejected ones too) to the POS rows they name."""
     pos = customers.where("_source = 'pos'").select(record_key().alias("dst"), F.split("_source_id", ":", 2)[0].alias("fk"))
-    members = loyalty.where(real_key(F.col("pos_customer_id"))).select(F.concat(F.lit("loyalty::"), F.coalesce(t.nonempty(F.col("member_id")), F.concat(F.lit("LY-row-"), F.col("_source_row").cast("string")))).alias("src"), F.trim("pos_customer_id").alias("fk"))
+    members = loyalty.where(real_key(F.col("pos_customer_id"))).select(
+        F.concat(
+            F.lit("loyalty::"), F.coalesce(t.nonempty(F.col("member_id")), F.concat(F.lit("LY-row-"), F.col("_source_row").cast("string")))
+        ).alias("src"),
+        F.trim("pos_customer_id").alias("fk")
+    )
     return members.join(pos, "fk").select("src", "dst")
 
 
@@ -57,7 +62,9 @@ def features(l: str = "l", r: str = "r") -> dict[str, Column]:
         "address": F.when(same("postal_code") & a("street").isNotNull() & b("street").isNotNull(), F.least(F.lit(1.0), street + 0.1)).otherwise(street),
         "phone": F.when(same("phone_e164"), 1.0).otherwise(0.0),
         "email": F.when(same("email_normalized"), 1.0).when(F.coalesce(domain(a("email_normalized")) == domain(b("email_normalized")), F.lit(False)), 0.1).otherwise(0.0),
-        "dob": F.when(F.coalesce(a("birth_date") == b("birth_date"), F.lit(False)), 1.0).when(F.coalesce(F.year(a("birth_date")) == F.year(b("birth_date")), F.lit(False)), 0.5).otherwise(0.0),
+        "dob": F.when(F.coalesce(a("birth_date") == b("birth_date"), F.lit(False)), 1.0).when(
+            F.coalesce(F.year(a("birth_date")) == F.year(b("birth_date")), F.lit(False)), 0.5
+        ).otherwise(0.0),
     }
 
 
@@ -91,7 +98,9 @@ def resolve(customers: DataFrame, loyalty: DataFrame | None, settings: Settings,
     if decisions is not None:
         edges = edges.unionByName(decisions.where("decision = 'merge'").select(F.col("left_key").alias("src"), F.col("right_key").alias("dst")))
     first = labelled(records, edges, "key")
-    wide = first.where("last_name is not null and region is not null and birth_date is not null").withColumn("b_letter", F.lower(F.substring("last_name", 1, 1))).withColumn("b_region", F.upper("region")).withColumn("b_year", F.year("birth_date"))
+    wide = first.where(
+        "last_name is not null and region is not null and birth_date is not null"
+    ).withColumn("b_letter", F.lower(F.substring("last_name", 1, 1))).withColumn("b_region", F.upper("region")).withColumn("b_year", F.year("birth_date"))
     pairs = blocked_pairs(wide, "key", ["b_letter", "b_region", "b_year"], "component")
     f = features()
     scored = pairs.select(F.col("l.key").alias("left_key"), F.col("r.key").alias("right_key"), F.struct(*[v.alias(k) for k, v in f.items()]).alias("features"))
@@ -134,7 +143,10 @@ def survivors(records: DataFrame, group: str, ranked: tuple[str, ...], longest:
 def customer_id(email: Column, phone: Column, names: Column, dates: Column, keys: Column) -> Column:
     """Stable id from the best evidence there is; names and dates alone could
     collide, so the keys are part of that form."""
-    namedob = F.when((F.size(names) > 0) & (F.size(dates) > 0), F.concat(F.lit("namedob:"), F.array_join(names, "|"), F.lit("|"), F.array_join(dates, "|"), F.lit("|"), F.array_join(keys, "|")))
+    namedob = F.when(
+        (F.size(names) > 0) & (F.size(dates) > 0),
+        F.concat(F.lit("namedob:"), F.array_join(names, "|"), F.lit("|"), F.array_join(dates, "|"), F.lit("|"), F.array_join(keys, "|"))
+    )
     return t.uuid5(F.coalesce(F.concat(F.lit("email:"), email), F.concat(F.lit("phone:"), phone), namedob, F.concat(F.lit("keys:"), F.array_join(keys, "|"))))
 
 
@@ -143,10 +155,16 @@ def golden(records: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame
     ranks = F.create_map(*[F.lit(x) for pair in settings.ranks.items() for x in pair])
     loads = F.create_map(*[F.lit(x) for i, k in enumerate(CONTRACTS) for x in (k, i)])
     rows = records.withColumn("_load", F.coalesce(loads[F.col("_source")], F.lit(99)))
-    best = survivors(rows, "component", RANKED, LONGEST, F.coalesce(ranks[F.col("_source")], F.lit(0)), ["_load", "_source_row"], ("city", "region", "postal_code", "country", "created_at_utc"))
+    best = survivors(
+        rows, "component", RANKED, LONGEST, F.coalesce(ranks[F.col("_source")], F.lit(0)), ["_load", "_source_row"],
+        ("city", "region", "postal_code", "country", "created_at_utc")
+    )
     # Names, dates and keys matter only where no record has an address or a number, which no large cluster lacks.
     bare = lambda c: F.array_sort(F.collect_set(F.when(F.col("email_normalized").isNull() & F.col("phone_e164").isNull(), c)))
-    ids = rows.groupBy("component").agg(F.min("email_normalized").alias("e"), F.min("phone_e164").alias("p"), bare(F.col("full_name_normalized")).alias("names"), bare(F.col("birth_date").cast("string")).alias("dates"), bare(F.col("key")).alias("keys"))
+    ids = rows.groupBy("component").agg(
+        F.min("email_normalized").alias("e"), F.min("phone_e164").alias("p"), bare(F.col("full_name_normalized")).alias("names"),
+        bare(F.col("birth_date").cast("string")).alias("dates"), bare(F.col("key")).alias("keys")
+    )
     ids = ids.select("component", customer_id(F.col("e"), F.col("p"), F.col("names"), F.col("dates"), F.col("keys")).alias("customer_id"))
     v = lambda c: F.col(f"{c}.value")
     told = [F.when(F.col(f"{c}_confidence") > 0, F.col(f"{c}_confidence")) for c in ("first_name", "last_name", "email_normalized", "phone_e164", "birth_date")]
@@ -171,10 +189,18 @@ def evaluate(pairs: DataFrame, xref: DataFrame) -> DataFrame:
     pairs (left_source, left_id, right_source, right_id, verdict, difficulty)."""
     side = lambda k: xref.select(F.col("_source").alias(f"{k}_source"), F.col("_source_id").alias(f"{k}_id"), F.col("customer_id").alias(f"{k}_customer"))
     known = pairs.where("verdict in ('match', 'no_match')").join(side("left"), ["left_source", "left_id"], "left").join(side("right"), ["right_source", "right_id"], "left")
-    return confusion(known.select("difficulty", (F.col("verdict") == "match").alias("truth"), F.coalesce(F.col("left_customer") == F.col("right_customer"), F.lit(False)).alias("said")))
+    return confusion(
+        known.select(
+            "difficulty", (F.col("verdict") == "match").alias("truth"),
+            F.coalesce(F.col("left_customer") == F.col("right_customer"), F.lit(False)).alias("said")
+        )
+    )
 
 
 def confusion(df: DataFrame) -> DataFrame:
-    counts = df.rollup("difficulty").agg(F.count_if(F.expr("truth and said")).alias("tp"), F.count_if(F.expr("not truth and said")).alias("fp"), F.count_if(F.expr("truth and not said")).alias("fn"), F.count_if(F.expr("not truth and not said")).alias("tn"))
+    counts = df.rollup("difficulty").agg(
+        F.count_if(F.expr("truth and said")).alias("tp"), F.count_if(F.expr("not truth and said")).alias("fp"),
+        F.count_if(F.expr("truth and not said")).alias("fn"), F.count_if(F.expr("not truth and not said")).alias("tn")
+    )
     rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
     return counts.select("*", rate("tp", "fp").alias("precision"), rate("tp", "fn").alias("recall"), rate("fp", "tp").alias("false_confidence"))

@@ -14,7 +14,10 @@ from tessel.contracts import CONTRACTS, LINEAGE
 from tessel.functions import text as t
 
 #: Words that no filter of a user may hold.
-DENIED = re.compile(r";|--|/\*|\b(insert|update|delete|drop|alter|create|attach|detach|copy|pragma|truncate|grant|revoke|merge|call|export|import|install|load|set|select|reflect|try_reflect|java_method|with)\b", re.I)
+DENIED = re.compile(
+    r";|--|/\*|\b(insert|update|delete|drop|alter|create|attach|detach|copy|pragma|truncate|grant|revoke|merge|call|export|import|install|load|set|select|reflect|try_reflect|java_method|with)\b",
+    re.I
+)
 MAX_WHERE = 500
 
 
@@ -35,9 +38,18 @@ def search_customers(masters: DataFrame, q: str | None = None, limit: int = 50,
 
 def provenance(masters: DataFrame, customer_id: str | None = None) -> DataFrame:
     rows = masters.where(F.col("customer_id") == customer_id) if customer_id else masters
-    value = lambda f, v, s, c: F.struct(F.lit(f).alias("field"), F.col(v).cast("string").alias("value"), F.col(s).alias("source"), (F.col(c) if c else F.lit(0.0)).alias("confidence"))
-    year = F.struct(F.lit("birth_year").alias("field"), F.year("birth_date").cast("string").alias("value"), F.col("birth_date_source").alias("source"), F.col("birth_date_confidence").alias("confidence"))
-    fields = F.array(value("full_name", "full_name", "full_name_source", "full_name_confidence"), value("email", "email_hash", "email_source", "email_confidence"), value("phone", "phone_hash", "phone_source", "phone_confidence"), value("city", "city", "city_source", None), value("region", "region", "region_source", None), year)
+    value = lambda f, v, s, c: F.struct(
+        F.lit(f).alias("field"), F.col(v).cast("string").alias("value"), F.col(s).alias("source"), (F.col(c) if c else F.lit(0.0)).alias("confidence")
+    )
+    year = F.struct(
+        F.lit("birth_year").alias("field"), F.year("birth_date").cast("string").alias("value"), F.col("birth_date_source").alias("source"),
+        F.col("birth_date_confidence").alias("confidence")
+    )
+    fields = F.array(
+        value("full_name", "full_name", "full_name_source", "full_name_confidence"), value("email", "email_hash", "email_source", "email_confidence"),
+        value("phone", "phone_hash", "phone_source", "phone_confidence"), value("city", "city", "city_source", None),
+        value("region", "region", "region_source", None), year
+    )
     return rows.select("customer_id", F.explode(fields).alias("f")).select("customer_id", "f.*")
 
 
@@ -47,7 +59,9 @@ def contributions(xref: DataFrame, customers: DataFrame, raw: DataFrame, custome
     rows = xref.where(F.col("customer_id") == customer_id) if customer_id else xref
     rows = rows.join(customers.select("_source", "_source_id", "_source_row", "field_quality_flags"), ["_source", "_source_id"], "left")
     rows = rows.join(raw.select("_source", "_source_row", "_source_file", "_ingested_at", "_raw_payload"), ["_source", "_source_row"], "left")
-    return rows.withColumn("fields", F.from_json("_raw_payload", "map<string,string>")).withColumn("flags", t.split_flags(F.col("field_quality_flags"))).orderBy("_source", "_source_id")
+    return rows.withColumn(
+        "fields", F.from_json("_raw_payload", "map<string,string>")
+    ).withColumn("flags", t.split_flags(F.col("field_quality_flags"))).orderBy("_source", "_source_id")
 
 
 def _lineage_ids() -> tuple[Column, Column, Column, Column]:
@@ -59,10 +73,16 @@ def lineage_nodes(masters: DataFrame, xref: DataFrame, customer_id: str | None =
     """customer_id, id, kind, label of a master and three nodes a crosswalk row."""
     only = (lambda df: df.where(F.col("customer_id") == customer_id)) if customer_id else (lambda df: df)
     master, link, conformed, raw = _lineage_ids()
-    top = only(masters).select("customer_id", master.alias("id"), F.lit("master").alias("kind"), F.concat(F.lit("customer_master / "), F.coalesce(t.nonempty(F.col("full_name")), "customer_id")).alias("label"))
+    top = only(masters).select(
+        "customer_id", master.alias("id"), F.lit("master").alias("kind"),
+        F.concat(F.lit("customer_master / "), F.coalesce(t.nonempty(F.col("full_name")), "customer_id")).alias("label")
+    )
     node = lambda key, kind, label: F.struct(key.alias("id"), F.lit(kind).alias("kind"), label.alias("label"))
     of = F.format_string("conformed.customer (%s %s)", "_source", "_source_id")
-    nodes = F.array(node(link, "xref", F.concat(F.lit("xref · "), "_source")), node(conformed, "conformed", of), node(raw, "raw", F.format_string("raw.%s (%s)", "_source", "_source_id")))
+    nodes = F.array(
+        node(link, "xref", F.concat(F.lit("xref · "), "_source")), node(conformed, "conformed", of),
+        node(raw, "raw", F.format_string("raw.%s (%s)", "_source", "_source_id"))
+    )
     return top.unionByName(only(xref).select("customer_id", F.explode(nodes).alias("n")).select("customer_id", "n.*"))
 
 
@@ -81,20 +101,30 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def lineage_tree(masters: DataFrame, xref: DataFrame, customers: DataFrame, raw: DataFrame, customer_id: str | None = None) -> DataFrame:
     """Per master: its row and, nested, the conformed and raw rows below it."""
     rows = contributions(xref, customers, raw, customer_id)
-    conformed = F.struct("_source", "_source_id", "match_method", "match_score", "_source_row", "field_quality_flags", F.struct("_source_file", "_ingested_at", "_raw_payload").alias("raw"))
+    conformed = F.struct(
+        "_source", "_source_id", "match_method", "match_score", "_source_row", "field_quality_flags",
+        F.struct("_source_file", "_ingested_at", "_raw_payload").alias("raw")
+    )
     below = rows.groupBy("customer_id").agg(F.array_sort(F.collect_list(conformed)).alias("children"))
     top = masters.where(F.col("customer_id") == customer_id) if customer_id else masters
-    return top.select("customer_id", "record_confidence", "n_sources", F.struct(*[c for c in masters.columns if c != "customer_id"]).alias("row")).join(below, "customer_id", "left")
+    return top.select(
+        "customer_id", "record_confidence", "n_sources", F.struct(*[c for c in masters.columns if c != "customer_id"]).alias("row")
+    ).join(below, "customer_id", "left")
 
 
 def detail(masters: DataFrame, xref: DataFrame, customers: DataFrame, raw: DataFrame, customer_id: str) -> dict:
     """One master with the origin of its fields and every contribution; status
     404 where there is none."""
-    one = masters.where(F.col("customer_id") == customer_id).select("customer_id", "full_name", "city", "region", F.year("birth_date").alias("birth_year"), "n_sources", "record_confidence").first()
+    one = masters.where(F.col("customer_id") == customer_id).select(
+        "customer_id", "full_name", "city", "region", F.year("birth_date").alias("birth_year"), "n_sources", "record_confidence"
+    ).first()
     if one is None:
         return {"status": 404, "detail": f"customer {customer_id} not found"}
     fields = provenance(masters, customer_id).where("value is not null or source is not null").drop("customer_id")
-    parts = contributions(xref, customers, raw, customer_id).select(F.col("_source").alias("source"), F.col("_source_id").alias("source_id"), F.coalesce("_source_row", F.lit(0)).alias("source_row"), t.iso(F.col("_ingested_at")).alias("ingested_at"), "fields", F.col("flags").alias("field_quality_flags"))
+    parts = contributions(xref, customers, raw, customer_id).select(
+        F.col("_source").alias("source"), F.col("_source_id").alias("source_id"), F.coalesce("_source_row", F.lit(0)).alias("source_row"),
+        t.iso(F.col("_ingested_at")).alias("ingested_at"), "fields", F.col("flags").alias("field_quality_flags")
+    )
     return {"status": 200, **one.asDict(), "fields": [r.asDict() for r in fields.collect()], "contributions": [r.asDict(recursive=True) for r in parts.collect()]}
 
 
@@ -117,7 +147,9 @@ def health(tables: dict | None) -> dict:
 
 def check_views(report: dict | None, live: Callable[[], DataFrame]) -> list[dict]:
     """Checks as the view shows them: the run report's, else checked now."""
-    view = lambda c, at: {"name": c["name"], "level": c["severity"].upper(), "status": "pass" if c["passed"] else "fail", "message": c.get("detail") or "", "ran_at": at}
+    view = lambda c, at: {
+        "name": c["name"], "level": c["severity"].upper(), "status": "pass" if c["passed"] else "fail", "message": c.get("detail") or "", "ran_at": at
+    }
     try:
         return [view(c, report.get("finished_at") or report.get("started_at") or "") for c in report["checks"]]
     except (KeyError, TypeError, AttributeError):
@@ -125,10 +157,19 @@ def check_views(report: dict | None, live: Callable[[], DataFrame]) -> list[dict
 
 
 def review_queue(reviews: DataFrame, customers: DataFrame, limit: int = 50) -> DataFrame:
-    side = lambda k: customers.select(F.concat_ws("::", "_source", "_source_id").alias(f"{k}_key"), F.struct("_source", "_source_id", F.col("full_name_normalized").alias("name"), F.col("email_normalized").alias("email"), F.col("phone_e164").alias("phone"), t.address(F.col("street"), F.col("city"), F.col("region"), F.col("postal_code")).alias("address"), F.col("birth_date").cast("string").alias("dob")).alias(k))
+    side = lambda k: customers.select(
+        F.concat_ws("::", "_source", "_source_id").alias(f"{k}_key"),
+        F.struct(
+            "_source", "_source_id", F.col("full_name_normalized").alias("name"), F.col("email_normalized").alias("email"),
+            F.col("phone_e164").alias("phone"), t.address(F.col("street"), F.col("city"), F.col("region"), F.col("postal_code")).alias("address"),
+            F.col("birth_date").cast("string").alias("dob")
+        ).alias(k)
+    )
     top = reviews.orderBy(F.desc("score"), "review_id").limit(limit)
     names = reviews.schema["features"].dataType.names
-    return top.join(side("left"), "left_key", "left").join(side("right"), "right_key", "left").select("review_id", "score", "left", "right", t.reason({n: F.col(f"features.{n}") for n in names}).alias("reason"))
+    return top.join(side("left"), "left_key", "left").join(side("right"), "right_key", "left").select(
+        "review_id", "score", "left", "right", t.reason({n: F.col(f"features.{n}") for n in names}).alias("reason")
+    )
 
 
 def open_reviews(reviews: DataFrame, audit: DataFrame) -> DataFrame:
@@ -142,7 +183,11 @@ def decide(reviews: DataFrame, review_id: str, decision: str, note: str | None =
     if decision not in ("merge", "keep_separate"):
         raise ValueError("decision must be merge or keep_separate")
     one = reviews.where(F.col("review_id") == review_id)
-    return one.select(F.uuid().alias("audit_id"), F.lit("review_decision").alias("event_type"), F.col("left_key").alias("customer_id"), F.col("right_key").alias("other_id"), F.lit(decision).alias("decision"), "score", F.lit(note).cast("string").alias("note"), F.current_timestamp().alias("created_at"))
+    return one.select(
+        F.uuid().alias("audit_id"), F.lit("review_decision").alias("event_type"), F.col("left_key").alias("customer_id"),
+        F.col("right_key").alias("other_id"), F.lit(decision).alias("decision"), "score", F.lit(note).cast("string").alias("note"),
+        F.current_timestamp().alias("created_at")
+    )
 
 
 def decisions(audit: DataFrame) -> DataFrame:
@@ -157,14 +202,22 @@ def source_info(customers: DataFrame, rejects: DataFrame, raw: DataFrame | None
     c = customers.groupBy("_source").agg(F.count("*").alias("kept"), (F.count_if(F.col("email_normalized").isNull()) + F.count_if(F.col("phone_e164").isNull())).alias("nulls"))
     r = rejects.groupBy("_source").agg(F.count("*").alias("rejected"))
     both = c.join(r, "_source", "full").na.fill(0)
-    rate = F.coalesce(F.try_divide(F.col("rejected").cast("double"), F.col("kept") + F.col("rejected")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("nulls").cast("double"), 2 * F.col("kept")), F.lit(0.0))
-    out = both.select("_source", (F.col("kept") + F.col("rejected")).alias("row_count"), F.col("rejected").alias("anomaly_count"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - rate / 2.0)).alias("quality_score"))
+    rate = F.coalesce(
+        F.try_divide(F.col("rejected").cast("double"), F.col("kept") + F.col("rejected")), F.lit(0.0)
+    ) + F.coalesce(F.try_divide(F.col("nulls").cast("double"), 2 * F.col("kept")), F.lit(0.0))
+    out = both.select(
+        "_source", (F.col("kept") + F.col("rejected")).alias("row_count"), F.col("rejected").alias("anomaly_count"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - rate / 2.0)).alias("quality_score")
+    )
     return out if raw is None else out.join(raw.groupBy("_source").agg(t.iso(F.max("_ingested_at")).alias("last_ingested_at")), "_source", "left")
 
 
 def status_checks(n_masters: Column, n_rejects: Column, n_reviews: Column) -> Column:
     """The three checks that stand in where no run left its own."""
-    check = lambda name, severity, status, n, where: F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), status.alias("status"), F.concat(n.cast("string"), F.lit(f" rows in {where}")).alias("detail"))
+    check = lambda name, severity, status, n, where: F.struct(
+        F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), status.alias("status"),
+        F.concat(n.cast("string"), F.lit(f" rows in {where}")).alias("detail")
+    )
     return F.array(
         check("curated_master_populated", "BLOCK", F.when(n_masters > 0, "PASS").otherwise("FAIL"), n_masters, "curated.customer_master"),
         check("conform_reject_rate", "ALERT", F.when(n_rejects == 0, "PASS").otherwise("WARN"), n_rejects, "conformed._reject"),
@@ -179,7 +232,10 @@ def overall(checks: Column) -> Column:
 
 
 #: The tables that the tools may show.
-ALLOWED = (*(f"raw.{name}" for name in CONTRACTS), "conformed.customer", "conformed._reject", "curated.customer_master", "curated.customer_xref", "curated.match_audit", "curated.customer_review")
+ALLOWED = (
+    *(f"raw.{name}" for name in CONTRACTS), "conformed.customer", "conformed._reject", "curated.customer_master", "curated.customer_xref",
+    "curated.match_audit", "curated.customer_review"
+)
 FOUND = ("_source", "_source_id", "_source_row", "first_name", "last_name", "full_name_normalized", "email_normalized", "phone_e164", "city", "region", "country", "birth_date")
 
 
@@ -211,7 +267,10 @@ class Tools:
 
     def __init__(self, tables: dict[str, DataFrame] | None, path: str | None = None) -> None:
         self.tables, self.path = tables, path
-        self.known: dict[str, Callable[..., dict]] = {"list_sources": self._sources, "preview_table": self._preview, "find_record": self._find, "trace_lineage": self._trace, "get_source_schema": self._schema, "quality_status": self._status}
+        self.known: dict[str, Callable[..., dict]] = {
+            "list_sources": self._sources, "preview_table": self._preview, "find_record": self._find, "trace_lineage": self._trace,
+            "get_source_schema": self._schema, "quality_status": self._status
+        }
 
     def call(self, name: str, arguments: dict | None = None) -> dict:
         arguments = arguments or {}
@@ -270,7 +329,12 @@ class Tools:
         rows = self._rows(find_records(self.tables["conformed.customer"], query, source, limit))
         if not rows:
             return _error("NO_MATCH", f"no conformed row matches {query!r}", hint="try a shorter part, no source, or preview_table on a raw table")
-        return _ok({"query": query, "source_filter": source, "row_count": len(rows), "rows": rows, "next_step": "find its customer_id in curated.customer_xref, then call trace_lineage"})
+        return _ok(
+            {
+                "query": query, "source_filter": source, "row_count": len(rows), "rows": rows,
+                "next_step": "find its customer_id in curated.customer_xref, then call trace_lineage"
+            }
+        )
 
     def _trace(self, customer_id: str) -> dict:
         customer_id = customer_id.strip()
@@ -284,7 +348,12 @@ class Tools:
         if source not in CONTRACTS:
             return _error("UNKNOWN_SOURCE", source, known=list(CONTRACTS))
         c = CONTRACTS[source]
-        return _ok({"source": c.name, "kind": c.kind, "delimiter": None if c.kind == "json" else c.separator, "encoding": c.encoding, "columns": list(c.columns), "known_issues": list(c.issues), "lineage_columns": list(LINEAGE), "warehouse_table": f"raw.{c.name}"})
+        return _ok(
+            {
+                "source": c.name, "kind": c.kind, "delimiter": None if c.kind == "json" else c.separator, "encoding": c.encoding,
+                "columns": list(c.columns), "known_issues": list(c.issues), "lineage_columns": list(LINEAGE), "warehouse_table": f"raw.{c.name}"
+            }
+        )
 
     def _status(self) -> dict:
         kept = self.tables.get("curated.quality_status")

@@ -39,7 +39,9 @@ def substring_search_topk(spark, d):
     return rows.orderBy(F.desc("p_retailprice"), "p_partkey").offset(10).limit(50).select("p_partkey", "p_name", "p_retailprice")
 
 
-@query("SELECT source AS _source, count(*) AS total, CAST(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS lang, CAST(avg(CASE WHEN text IS NULL THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS text FROM documents GROUP BY source")
+@query(
+    "SELECT source AS _source, count(*) AS total, CAST(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS lang, CAST(avg(CASE WHEN text IS NULL THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS text FROM documents GROUP BY source"
+)
 def null_rate_by_source(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("_source"), F.nullif("lang", F.lit("en")).alias("lang"), "text")
     return checks.null_rates(rows, ("lang", "text"))
@@ -91,7 +93,9 @@ def phone_e164(spark, d):
 def parse_dates_multi(spark, d):
     k = F.col("o_orderkey") % 5
     day = F.col("o_orderdate")
-    text = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyyMMdd")).when(k == 2, F.date_format(day, "dd.MM.yyyy")).when(k == 3, F.date_format(day, "M/d/yyyy")).otherwise(F.date_format(day, "yyyy/M/d"))
+    text = F.when(
+        k == 0, F.date_format(day, "yyyy-MM-dd")
+    ).when(k == 1, F.date_format(day, "yyyyMMdd")).when(k == 2, F.date_format(day, "dd.MM.yyyy")).when(k == 3, F.date_format(day, "M/d/yyyy")).otherwise(F.date_format(day, "yyyy/M/d"))
     return table(spark, d, "orders").select("o_orderkey", t.parsed_date(text).alias("parsed"))
 
 
@@ -101,7 +105,9 @@ def excel_serial(spark, d):
     return table(spark, d, "orders").select("o_orderkey", t.parsed_date(serial).alias("day"))
 
 
-@query("SELECT c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) = 4 THEN '0' || CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END AS zip, length(CAST(c_custkey AS VARCHAR)) = 4 AS padded FROM customer")
+@query(
+    "SELECT c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) = 4 THEN '0' || CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END AS zip, length(CAST(c_custkey AS VARCHAR)) = 4 AS padded FROM customer"
+)
 def zip_pad(spark, d):
     z, padded = t.padded_zip(F.col("c_custkey").cast("string"))
     return table(spark, d, "customer").select("c_custkey", z.alias("zip"), padded.alias("padded"))
@@ -119,12 +125,16 @@ def pii_hash(spark, d):
 
 
 @query(f"""WITH h AS (SELECT c_custkey, sha1(unhex('{t.URL_NAMESPACE}') || encode('name:' || c_name)) AS h FROM customer)
-SELECT c_custkey, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
+SELECT c_custkey, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+FROM h""")
 def uuid5_id(spark, d):
     return table(spark, d, "customer").select("c_custkey", t.uuid5(F.concat(F.lit("name:"), "c_name")).alias("id"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_filter([CASE WHEN l_discount > 0.05 THEN 'discounted' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN l_quantity > 40 THEN 'bulk' END], lambda x: x IS NOT NULL)), ',') AS flags FROM lineitem""")
+@query(
+    """SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_filter([CASE WHEN l_discount > 0.05 THEN 'discounted' END,
+CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN l_quantity > 40 THEN 'bulk' END], lambda x: x IS NOT NULL)), ',') AS flags FROM lineitem"""
+)
 def flags_join(spark, d):
     f = t.flags({"discounted": F.col("l_discount") > 0.05, "returned": F.col("l_returnflag") == "R", "bulk": F.col("l_quantity") > 40})
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", f.alias("flags"))
@@ -143,7 +153,8 @@ def _part_edges(spark, d):
     return resolve.star_edges(part, "p_partkey", "p_brand", "p_size", "p_type").unionByName(resolve.star_edges(part, "p_partkey", "p_name", "p_brand", "p_size"))
 
 
-_PART_COMPONENTS = """WITH RECURSIVE e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND (a.p_type = b.p_type OR a.p_name = b.p_name)),
+_PART_COMPONENTS = """WITH RECURSIVE e AS (SELECT a.p_partkey AS a, b.p_partkey AS b
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND (a.p_type = b.p_type OR a.p_name = b.p_name)),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS p_partkey, min(b) AS component FROM r GROUP BY a)"""
 
@@ -162,7 +173,10 @@ def auto_merge_count(spark, d):
 def _cluster_records(spark, d):
     """Documents as records: one cluster per text; source, language and length disagree."""
     doc = table(spark, d, "documents")
-    return doc.select(F.md5("text").alias("component"), F.col("source").alias("_source"), F.col("doc_id"), "lang", F.substring("text", 1, 20).alias("head"), F.regexp_replace("source", r"\D", "").cast("int").alias("rank"))
+    return doc.select(
+        F.md5("text").alias("component"), F.col("source").alias("_source"), F.col("doc_id"), "lang", F.substring("text", 1, 20).alias("head"),
+        F.regexp_replace("source", r"\D", "").cast("int").alias("rank")
+    )
 
 
 @query("""WITH r AS (SELECT md5(text) AS component, source, doc_id, lang, CAST(regexp_replace(source, '[^0-9]', '', 'g') AS INT) AS rank FROM documents)
@@ -175,10 +189,14 @@ def survivorship_by_rank(spark, d):
 
 @query("""WITH w AS (SELECT source, doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS no FROM documents),
 r AS (SELECT source AS component, word, doc_id, no, row_number() OVER (PARTITION BY source ORDER BY length(word) DESC, doc_id, no) AS k FROM w WHERE word <> '')
-SELECT component, any_value(word) FILTER (WHERE k = 1) AS word, CAST(CASE WHEN count(DISTINCT word) = 1 THEN 1.0 ELSE greatest(0.5, 1.0 - 0.1 * (count(DISTINCT word) - 1)) END AS DOUBLE) AS word_confidence FROM r GROUP BY component""")
+SELECT component, any_value(word) FILTER (WHERE k = 1) AS word,
+CAST(CASE WHEN count(DISTINCT word) = 1 THEN 1.0 ELSE greatest(0.5, 1.0 - 0.1 * (count(DISTINCT word) - 1)) END AS DOUBLE) AS word_confidence FROM r
+GROUP BY component""")
 def survivorship_longest(spark, d):
     """The longest of all words of a source's documents, the first of equals."""
-    rows = table(spark, d, "documents").select(F.col("source").alias("component"), F.col("source").alias("_source"), "doc_id", F.posexplode(F.split("text", " ")).alias("no", "word"))
+    rows = table(spark, d, "documents").select(
+        F.col("source").alias("component"), F.col("source").alias("_source"), "doc_id", F.posexplode(F.split("text", " ")).alias("no", "word")
+    )
     return resolve.survivors(rows, "component", (), ("word",), F.lit(0), ["doc_id", "no"]).select("component", F.col("word.value").alias("word"), "word_confidence")
 
 
@@ -186,7 +204,9 @@ def survivorship_longest(spark, d):
 FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (source)""")
 def eval_confusion(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return resolve.confusion(rows.select(F.col("source").alias("difficulty"), (F.col("quality") == 1).alias("truth"), (F.col("toxic") == 0).alias("said"))).select("difficulty", "tp", "fp", "fn", "tn")
+    return resolve.confusion(
+        rows.select(F.col("source").alias("difficulty"), (F.col("quality") == 1).alias("truth"), (F.col("toxic") == 0).alias("said"))
+    ).select("difficulty", "tp", "fp", "fn", "tn")
 
 
 @query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ordinal FROM customer")

@@ -44,7 +44,10 @@ def run(spark: SparkSession, paths: dict[str, str], out: str, settings: Settings
     found = checks.run_all(customers, drift, counts, baseline, raw.get("loyalty"), raw.get("pos"))
     found = found.unionByName(warehouse.key_checks({"conformed.customer": customers}))
     result = _write(found.withColumn("checked_at", F.current_timestamp()), out, "curated.quality_status")
-    report |= {"checks": _told(result.drop("checked_at")), "kept": {r[0]: r[1] for r in counts.collect()}, "rejected": {r[0]: r[1] for r in rejects.groupBy("_source").count().collect()}}
+    report |= {
+        "checks": _told(result.drop("checked_at")), "kept": {r[0]: r[1] for r in counts.collect()},
+        "rejected": {r[0]: r[1] for r in rejects.groupBy("_source").count().collect()}
+    }
     try:
         checks.gate(result)
         if decisions is None and (audit := warehouse.read(spark, out, "curated.match_audit")) is not None:

@@ -52,7 +52,9 @@ SAMPLES = {
              ),
         f"CASE {_TEST} END", dict(dob_zero_date=f"{K} % 2 = 0", phone_invalid=f"{K} % 3 = 0", zip_padded="true")),
     "acq_rheinland": Sample(
-        dict(Kundennr=f"'RH-' || {TEXT}", Name=_named(f"{LAST} || ', ' || {FIRST}", "'Mouse Mickey Mouse'"), Strasse=f"'Hauptstraße ' || {TEXT}", PLZ="'10115'", Ort="'Köln'", Telefon=f"'030 5' || {SIX}",
+        dict(Kundennr=f"'RH-' || {TEXT}", Name=_named(
+            f"{LAST} || ', ' || {FIRST}", "'Mouse Mickey Mouse'"
+        ), Strasse=f"'Hauptstraße ' || {TEXT}", PLZ="'10115'", Ort="'Köln'", Telefon=f"'030 5' || {SIX}",
              Email=f"upper('u' || {TEXT} || '@web.de')", Geburtsdatum=f"CASE WHEN {K} % 11 = 0 THEN '31.02.1970' ELSE {DAY} || '.09.' || {YEAR} END", Umsatz="'12.840,55'", Newsletter="'Ja'"),
         dict(_source_id=f"'RH-' || {TEXT}", email_normalized=f"'u' || {TEXT} || '@web.de'", phone_e164=f"'+49305' || {SIX}", street=f"'Hauptstraße ' || {TEXT}", city="'Köln'", region="'DE'", postal_code="'10115'", country="'DE'",
              birth_date=f"{YEAR} || '-09-' || {DAY}"),
@@ -60,10 +62,16 @@ SAMPLES = {
     "acq_sunset": Sample(
         dict(acct=f"CASE WHEN {K} % 17 <> 0 THEN 'SC' || {TEXT} END", name=f"CASE WHEN {K} % 17 <> 0 THEN {_named(f'{FIRST} || chr(32) || {LAST}')} END", address=f"CASE WHEN {K} % 17 <> 0 THEN {TEXT} || ' Elm St' || chr(10) || 'Rear' END", city="CAST(NULL AS STRING)", st="CAST(NULL AS STRING)",
              zip="CAST(NULL AS STRING)", phone=f"CASE WHEN {K} % 17 <> 0 THEN '(617) 5' || {SIX} || ' ext. ' || CAST({K} % 9 + 1 AS STRING) END", signup_dt=f"CASE WHEN {K} % 17 <> 0 THEN CAST(44197 + {K} % 300 AS STRING) END", email="CAST(NULL AS STRING)", notes="'VIP, \"old\"'"),
-        dict(_source_id=f"'SC' || {TEXT}", phone_e164=f"'+16175' || {SIX}", phone_ext=f"CAST({K} % 9 + 1 AS STRING)", street=f"{TEXT} || ' Elm St' || chr(10) || 'Rear'", country="'US'", created=f"strftime(DATE '2021-01-01' + CAST({K} % 300 AS INTEGER), '%Y-%m-%d')"),
+        dict(
+            _source_id=f"'SC' || {TEXT}", phone_e164=f"'+16175' || {SIX}", phone_ext=f"CAST({K} % 9 + 1 AS STRING)",
+            street=f"{TEXT} || ' Elm St' || chr(10) || 'Rear'", country="'US'",
+            created=f"strftime(DATE '2021-01-01' + CAST({K} % 300 AS INTEGER), '%Y-%m-%d')"
+        ),
         f"CASE WHEN {K} % 17 = 0 THEN 'all_null' {_TEST} END"),
     "crm": Sample(
-        dict(contact_id=f"'C' || {TEXT}", account_name="'NULL'", full_name=_named(f"{LAST} || ', ' || {FIRST}", "'Vandelay, Art'"), email=f"'First.' || {TEXT} || '+tag@GoogleMail.com'", phone="'NULL'", mailing_street="'NULL'", mailing_city=f"'Troy'", mailing_state="'mi'",
+        dict(contact_id=f"'C' || {TEXT}", account_name="'NULL'", full_name=_named(
+            f"{LAST} || ', ' || {FIRST}", "'Vandelay, Art'"
+        ), email=f"'First.' || {TEXT} || '+tag@GoogleMail.com'", phone="'NULL'", mailing_street="'NULL'", mailing_city=f"'Troy'", mailing_state="'mi'",
              mailing_zip=f"{FOUR} || '-1234'", date_of_birth=f"CASE WHEN {K} % 13 = 0 THEN '6/31/22' ELSE '7/1/' || lpad(CAST({SHORT} AS STRING), 2, '0') END", lead_source="'Web'", created_date=f"'3/' || CAST({K} % 28 + 1 AS STRING) || '/2021'"),
         dict(_source_id=f"'C' || {TEXT}", email_normalized=f"'first' || {TEXT} || '@gmail.com'", city="'Troy'", region="'MI'", postal_code=f"'0' || {FOUR} || '-1234'", country="'US'",
              birth_date=f"CASE WHEN {SHORT} >= 69 THEN '19' ELSE '20' END || lpad(CAST({SHORT} AS STRING), 2, '0') || '-07-01'", created=f"'2021-03-' || {DAY}"),
@@ -77,15 +85,26 @@ SAMPLES = {
     "loyalty": Sample(
         dict(member_id=f"'LY-' || {TEXT}", full_name=_named(f"{FIRST} || ' ' || {LAST}"), email=f"'u' || {TEXT} || '@web.de'", phone="''", tier="'gold'", points_balance="'1,200'", enrolled_at=f"'2020/2/' || CAST({K} % 28 + 1 AS STRING)",
              birth_date=f"CASE WHEN {K} % 3 = 0 THEN '0000-00-00' WHEN {K} % 23 = 0 THEN 'x1' ELSE '1979-03-' || {DAY} END", home_store="'S1'", pos_customer_id=f"CASE WHEN {K} % 2 = 0 THEN '999999' WHEN {K} % 10 = 3 THEN 'X' || {TEXT} ELSE {TEXT} END"),
-        dict(_source_id=f"'LY-' || {TEXT}", email_normalized=f"'u' || {TEXT} || '@web.de'", country="'US'", birth_date=f"CASE WHEN {K} % 3 <> 0 THEN '1979-03-' || {DAY} END", created=f"'2020-02-' || {DAY}"),
+        dict(
+            _source_id=f"'LY-' || {TEXT}", email_normalized=f"'u' || {TEXT} || '@web.de'", country="'US'",
+            birth_date=f"CASE WHEN {K} % 3 <> 0 THEN '1979-03-' || {DAY} END", created=f"'2020-02-' || {DAY}"
+        ),
         f"CASE {_TEST} WHEN {K} % 3 <> 0 AND {K} % 23 = 0 THEN 'invalid_date' END", dict(dob_zero_date=f"{K} % 3 = 0", fk_sentinel=f"{K} % 2 = 0")),
     "pos": Sample(
-        dict(CUST_ID=TEXT, NAME=_named(f"upper({LAST} || ' ' || {FIRST})", "'DONALD DUCK'"), PHONE=f"'1-617-5' || {SIX}", EMAIL="''", ADDR=f"CASE WHEN {K} % 4 = 0 THEN '1 M�in' ELSE '1 Main' END", CITY="'Troy'", STATE="'ny'", ZIP="'12180'",
+        dict(CUST_ID=TEXT, NAME=_named(
+            f"upper({LAST} || ' ' || {FIRST})", "'DONALD DUCK'"
+        ), PHONE=f"'1-617-5' || {SIX}", EMAIL="''", ADDR=f"CASE WHEN {K} % 4 = 0 THEN '1 M�in' ELSE '1 Main' END", CITY="'Troy'", STATE="'ny'", ZIP="'12180'",
              DOB=f"CASE {K} % 29 WHEN 0 THEN '1850-01-01' WHEN 1 THEN 'bad' ELSE '2/1/' || {YEAR} END", LAST_TXN_DATE=f"'202201' || {DAY}", LIFETIME_SPEND=f"CASE WHEN {K} % 31 = 0 THEN '$2,000,000.00' ELSE '10.5' END"),
-        dict(_source_id=TEXT, phone_e164=f"'+16175' || {SIX}", street=f"CASE WHEN {K} % 4 = 0 THEN '1 M�in' ELSE '1 Main' END", city="'Troy'", region="'NY'", postal_code="'12180'", country="'US'", birth_date=f"{YEAR} || '-02-01'", created=f"'2022-01-' || {DAY}"),
+        dict(
+            _source_id=TEXT, phone_e164=f"'+16175' || {SIX}", street=f"CASE WHEN {K} % 4 = 0 THEN '1 M�in' ELSE '1 Main' END", city="'Troy'",
+            region="'NY'", postal_code="'12180'", country="'US'", birth_date=f"{YEAR} || '-02-01'", created=f"'2022-01-' || {DAY}"
+        ),
         f"CASE {_TEST} WHEN {K} % 31 = 0 THEN 'spend_outlier' WHEN {K} % 29 = 1 THEN 'invalid_date' WHEN {K} % 29 = 0 THEN 'dob_out_of_range' END", dict(encoding_lossy=f"{K} % 4 = 0")),
 }
-CONFORMED = ("_source_id", "first_name", "last_name", "full_name_normalized", "email_normalized", "phone_e164", "phone_ext", "street", "city", "region", "postal_code", "country", "birth_date", "created", "flags")
+CONFORMED = (
+    "_source_id", "first_name", "last_name", "full_name_normalized", "email_normalized", "phone_e164", "phone_ext", "street", "city", "region",
+    "postal_code", "country", "birth_date", "created", "flags"
+)
 
 
 def expected(name: str) -> str:
@@ -104,7 +123,9 @@ def write_feed(spark: SparkSession, sf_dir: str, name: str) -> str:
     contract, path = CONTRACTS[name], f"{shared_dir(spark)}/feed-{name}-{uuid.uuid4().hex}"
     shown = {v: k for k, v in contract.rename.items()}
     rows = table(spark, sf_dir, "customer").select(K, *[F.expr(SAMPLES[name].raw[c]).cast("string").alias(shown.get(c, c)) for c in contract.columns])
-    writer = lambda df: df.drop(K).write.mode("append").options(header=True, sep=contract.separator, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    writer = lambda df: df.drop(K).write.mode("append").options(
+        header=True, sep=contract.separator, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     if contract.kind == "json":
         inner = ("line1", "city", "region", "postal_code", "country")
         nested = F.when(F.col("line1").isNotNull(), F.struct(*inner)).alias("shipping_address")
@@ -123,7 +144,11 @@ def write_feed(spark: SparkSession, sf_dir: str, name: str) -> str:
 def shown(customers: DataFrame, rejects: DataFrame) -> DataFrame:
     """Conformed and rejected rows as ``expected`` has them."""
     own = F.when(F.col("_source") == "pos", F.substring_index("_source_id", ":", 1)).otherwise(F.col("_source_id"))
-    kept = customers.select(own.alias("_source_id"), *[F.col(c) for c in CONFORMED[1:12]], F.col("birth_date").cast("string").alias("birth_date"), F.date_format("created_at_utc", "yyyy-MM-dd").alias("created"), F.col("field_quality_flags").alias("flags"), F.lit(None).cast("string").alias("reason"))
+    kept = customers.select(
+        own.alias("_source_id"), *[F.col(c) for c in CONFORMED[1:12]], F.col("birth_date").cast("string").alias("birth_date"),
+        F.date_format("created_at_utc", "yyyy-MM-dd").alias("created"), F.col("field_quality_flags").alias("flags"),
+        F.lit(None).cast("string").alias("reason")
+    )
     return kept.unionByName(rejects.select(F.col("reject_reason").alias("reason")), allowMissingColumns=True)
 
 

@@ -13,7 +13,9 @@ from tessel.contracts import Settings
 from tessel.operators.conform import conform, specs
 
 
-def conformed_stream(spark: SparkSession, source: str, raw_path: str, schema: str, out: str, checkpoint: str, settings: Settings | None = None, delay: str = "1 hour") -> StreamingQuery:
+def conformed_stream(
+    spark: SparkSession, source: str, raw_path: str, schema: str, out: str, checkpoint: str, settings: Settings | None = None, delay: str = "1 hour"
+) -> StreamingQuery:
     spec = specs(settings or Settings())[source]
     rows = spark.readStream.schema(schema).parquet(raw_path).withWatermark("_ingested_at", delay).dropDuplicatesWithinWatermark(["_source", "_source_row", "_raw_payload"])
 

@@ -27,18 +27,31 @@ def nfkd(text):
 
 def test_scalars(spark):
     lit = F.lit
-    for value, want in (("First.Last@gmail.com", "firstlast@gmail.com"), ("user+work@yahoo.com", "user@yahoo.com"), ("a.b@googlemail.com", "ab@gmail.com"), ("NULL", None), ("", None), ("not-an-email", None)):
+    for value, want in (
+        ("First.Last@gmail.com", "firstlast@gmail.com"), ("user+work@yahoo.com", "user@yahoo.com"), ("a.b@googlemail.com", "ab@gmail.com"),
+        ("NULL", None), ("", None), ("not-an-email", None)
+    ):
         assert one(spark, t.normalized_email(lit(value))) == want
-    for value, region, want in (("(973) 555-0142", "US", ("+19735550142", None)), ("(312) 555-0188 x4", "US", ("+13125550188", "4")), ("+49 30 1234567", "DE", ("+49301234567", None)), ("03/15/2021", "US", (None, None)), ("NULL", "US", (None, None))):
+    for value, region, want in (
+        ("(973) 555-0142", "US", ("+19735550142", None)), ("(312) 555-0188 x4", "US", ("+13125550188", "4")),
+        ("+49 30 1234567", "DE", ("+49301234567", None)), ("03/15/2021", "US", (None, None)), ("NULL", "US", (None, None))
+    ):
         number, ext = t.normalized_phone(lit(value), region)
         assert (one(spark, number), one(spark, ext)) == want
     day = datetime.date
-    for value, want in (("44197", day(2021, 1, 1)), ("02.09.1975", day(1975, 9, 2)), ("7/22/85", day(1985, 7, 22)), ("1/1/68", day(2068, 1, 1)), ("1/1/69", day(1969, 1, 1)), ("00000000", None), ("6/31/22", None), ("19991231", day(1999, 12, 31))):
+    for value, want in (
+        ("44197", day(2021, 1, 1)), ("02.09.1975", day(1975, 9, 2)), ("7/22/85", day(1985, 7, 22)), ("1/1/68", day(2068, 1, 1)),
+        ("1/1/69", day(1969, 1, 1)), ("00000000", None), ("6/31/22", None), ("19991231", day(1999, 12, 31))
+    ):
         assert one(spark, t.parsed_date(lit(value))) == want
     assert one(spark, t.padded_zip(lit("7102-1234"))[0]) == "07102-1234"
     assert one(spark, t.german_decimal(lit("12.840,55"))) == 12840.55 and one(spark, t.german_decimal(lit("abc"))) is None
     assert one(spark, t.uuid5(lit("email:a@b.com"))) == str(uuid.uuid5(uuid.NAMESPACE_URL, "email:a@b.com"))
-    for value, want in (("Hernandez-Garcia, Maria Jose", ("Maria Jose", "Hernandez-Garcia")), ("OBRIEN SEAN PATRICK", ("Sean Patrick", "Obrien")), ("Madonna", (None, "Madonna")), ("HERNANDEZ MARIA", ("Maria", "Hernandez")), ("MÜLLER JÜRGEN", ("Jürgen", "Müller")), ("RODRIGUEZ ANA", ("Ana", "Rodriguez")), ("GREß GRETA", ("Greß", "Greta")), ("KIM LEE", ("Kim", "Lee"))):
+    for value, want in (
+        ("Hernandez-Garcia, Maria Jose", ("Maria Jose", "Hernandez-Garcia")), ("OBRIEN SEAN PATRICK", ("Sean Patrick", "Obrien")),
+        ("Madonna", (None, "Madonna")), ("HERNANDEZ MARIA", ("Maria", "Hernandez")), ("MÜLLER JÜRGEN", ("Jürgen", "Müller")),
+        ("RODRIGUEZ ANA", ("Ana", "Rodriguez")), ("GREß GRETA", ("Greß", "Greta")), ("KIM LEE", ("Kim", "Lee"))
+    ):
         first, last = t.split_name(lit(value), Settings().surnames)
         assert (one(spark, first), one(spark, last)) == want
     for value, want in (("Kovač Łukasz", "Kovac Łukasz"), ("ﬁne ¼ Ǆ", "fine 1⁄4 DZ"), ("e\u0301Ａñ", "eAn"), ("ß", "ß"), ("Ελλάδα й", "Ελλαδα и")):
@@ -49,8 +62,14 @@ def test_scalars(spark):
 
 
 def test_encoding(spark):
-    cases = [("Jürgen", "utf-8", ("Jürgen", False), ("Jürgen", False)), ("JÃ¼rgen", "utf-8", ("Jürgen", True), ("JÃƒÂ¼rgen", True)), ("Jürgen €5", "cp1252", ("Jürgen €5", True), ("Jürgen €5", True)), ("“Muñoz’", "utf-8", ("“Muñoz’", False), ("“Muñoz’", False))]
-    cases += [("“Muñoz—".encode().decode("cp1252", "replace"), "utf-8", None, None), ("Muñoz ‘x’ – y".encode().decode("cp1252", "ignore"), "utf-8", ("Muñoz ‘x’ – y", True), None), ("日本 Ã¼", "utf-8", ("日本 Ã¼", True), None)]
+    cases = [
+        ("Jürgen", "utf-8", ("Jürgen", False), ("Jürgen", False)), ("JÃ¼rgen", "utf-8", ("Jürgen", True), ("JÃƒÂ¼rgen", True)),
+        ("Jürgen €5", "cp1252", ("Jürgen €5", True), ("Jürgen €5", True)), ("“Muñoz’", "utf-8", ("“Muñoz’", False), ("“Muñoz’", False))
+    ]
+    cases += [
+        ("“Muñoz—".encode().decode("cp1252", "replace"), "utf-8", None, None),
+        ("Muñoz ‘x’ – y".encode().decode("cp1252", "ignore"), "utf-8", ("Muñoz ‘x’ – y", True), None), ("日本 Ã¼", "utf-8", ("日本 Ã¼", True), None)
+    ]
     for text, code, *wants in cases:
         line = spark.createDataFrame([(text.encode(code).decode("latin-1"),)], "line string")
         for mode, want in zip(("repair", "compat"), wants):
@@ -81,10 +100,23 @@ def test_score_boosts(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    (tmp_path / "crm.csv").write_text("﻿" + ",".join(f'"{c}"' for c in CONTRACTS["crm"].rename) + '\n"c1","x","Ann Lee","ann@x.com","(973) 555-0142","1 Main","Troy","mi","7102","7/4/85","web","1/1/20"\n"c2","x","Mickey Mouse","m@x.com","","","","","","","",""\n"c3","x","Bob Roe","b@x.com","","","","","","6/31/22","",""\n')
+    (tmp_path / "crm.csv").write_text(
+        "﻿" + ",".join(
+            f'"{c}"' for c in CONTRACTS["crm"].rename
+        ) + '\n"c1","x","Ann Lee","ann@x.com","(973) 555-0142","1 Main","Troy","mi","7102","7/4/85","web","1/1/20"\n"c2","x","Mickey Mouse","m@x.com","","","","","","","",""\n"c3","x","Bob Roe","b@x.com","","","","","","6/31/22","",""\n'
+    )
     (tmp_path / "loyalty.csv").write_text(",".join(CONTRACTS["loyalty"].columns) + "\nm1,Ann Lee,ANN@x.com,,gold,1,2020-01-01,,s,1\n")
     (tmp_path / "pos.csv").write_text(",".join(CONTRACTS["pos"].columns) + "\n1,LEE ANN,,N/A,,,,7102,N/A,,10\n1,LEE ANN,,,,,,,,,20\n9,ZED,,,,,,,,,9999999\n")
-    (tmp_path / "ec.json").write_text(json.dumps([{"customer_id": "e1", "first_name": "zoe", "last_name": "kim", "email": "z@k.io", "phone": None, "created_at": "2024-01-02T03:04:05Z", "shipping_address": None}]))
+    (tmp_path / "ec.json").write_text(
+        json.dumps(
+            [
+                {
+                    "customer_id": "e1", "first_name": "zoe", "last_name": "kim", "email": "z@k.io", "phone": None,
+                    "created_at": "2024-01-02T03:04:05Z", "shipping_address": None
+                }
+            ]
+        )
+    )
     out = str(tmp_path / "out")
     report = pipeline.run(spark, {"crm": f"{tmp_path}/crm.csv", "loyalty": f"{tmp_path}/loyalty.csv", "pos": f"{tmp_path}/pos.csv", "ecommerce": f"{tmp_path}/ec.json"}, out)
     assert report["status"] == "ok" and report["rejected"] == {"crm": 2, "pos": 1}
@@ -104,7 +136,10 @@ def test_pipeline(spark, tmp_path):
     assert tools.call("find_record", {"query": "zzz"})["reason_code"] == "NO_MATCH"
     assert [r["_source"] for r in tools.call("find_record", {"query": "ann@"})["data"]["rows"]] == ["crm", "loyalty"]
     assert tools.call("nope")["reason_code"] == "UNKNOWN_TOOL"
-    for name, arguments in (("list_sources", {}), ("preview_table", {"table": "raw.crm", "limit": 1}), ("find_record", {"query": "doe"}), ("trace_lineage", {"customer_id": "x"}), ("quality_status", {})):
+    for name, arguments in (
+        ("list_sources", {}), ("preview_table", {"table": "raw.crm", "limit": 1}), ("find_record", {"query": "doe"}),
+        ("trace_lineage", {"customer_id": "x"}), ("quality_status", {})
+    ):
         missing = serve.Tools(None, "/no/where").call(name, arguments)
         assert missing["isError"] and missing["reason_code"] == "WAREHOUSE_MISSING" and missing["expected_path"] == "/no/where"
     schema = serve.Tools(None).call("get_source_schema", {"source": "crm"})["data"]
@@ -170,7 +205,9 @@ def test_stream(spark, tmp_path):
     """Files that arrive are conformed batch by batch; late copies are dropped."""
     columns = ", ".join(f"{c} string" for c in CONTRACTS["loyalty"].columns)
     schema = f"{columns}, _source string, _source_row long, _ingested_at timestamp, _raw_payload string"
-    row = lambda i, name, at: (f"m{i}", name, "A@x.com", "", "gold", "1", "2020-01-01", "1979-03-14", "s", "1", "loyalty", i, datetime.datetime(2024, 1, 1, at), f"p{i}")
+    row = lambda i, name, at: (
+        f"m{i}", name, "A@x.com", "", "gold", "1", "2020-01-01", "1979-03-14", "s", "1", "loyalty", i, datetime.datetime(2024, 1, 1, at), f"p{i}"
+    )
     for rows in ([row(2, "Ann Lee", 1), row(3, "Mickey Mouse", 1)], [row(2, "Ann Lee", 1), row(4, "Bob Roe", 2)]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/raw")
         arrivals.conformed_stream(spark, "loyalty", f"{tmp_path}/raw", schema, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)

@@ -72,7 +72,13 @@ def benchmark_fingerprints(items: DataFrame) -> tuple[DataFrame, list[int]]:
     one = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(n, F.col("h")).alias("fp"), n.alias("glen")))
     df = df.select("item_id", "words", F.explode(F.when(n < SPAN, one).otherwise(F.col("fps"))).alias("f"))
     left, gram, right = _around(F.col("f.pos"), F.col("f.glen"))
-    return written(df.select("item_id", F.col("f.fp").alias("fp"), F.col("f.glen").alias("i_glen"), F.least(F.size("words"), F.lit(SPAN)).alias("need"), left.alias("i_left"), gram.alias("i_gram"), right.alias("i_right")).distinct(), "benchmark"), short
+    return written(
+        df.select(
+            "item_id", F.col("f.fp").alias("fp"), F.col("f.glen").alias("i_glen"), F.least(F.size("words"), F.lit(SPAN)).alias("need"),
+            left.alias("i_left"), gram.alias("i_gram"), right.alias("i_right")
+        ).distinct(),
+        "benchmark"
+    ), short
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -108,13 +114,27 @@ def contaminated_words(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     hits = hits.where((F.col("pos") == -1) | F.col("need").isNotNull())
     left, gram, right = _around(F.col("pos"), F.col("i_glen"))
     real = (F.col("pos") >= 0) & (gram == F.col("i_gram"))
-    hits = hits.select(*key, F.size("words").alias("n"), "pos", "item_id", "need", "i_glen", F.when(real, _same(left, F.col("i_left"))).alias("l"), F.when(real, _same(right, F.col("i_right"))).alias("r"))
+    hits = hits.select(
+        *key, F.size("words").alias("n"), "pos", "item_id", "need", "i_glen", F.when(real, _same(left, F.col("i_left"))).alias("l"),
+        F.when(real, _same(right, F.col("i_right"))).alias("r")
+    )
     span = (F.col("pos") >= 0) & (F.col("l") + F.col("i_glen") + F.col("r") >= F.col("need"))
     whole = F.col("need") < SPAN
-    at = F.when(span, F.struct(F.when(whole, F.col("pos")).otherwise(F.col("pos") - F.col("l")).cast("long").alias("s"), F.when(whole, F.col("pos") + F.col("i_glen")).otherwise(F.col("pos") + F.col("i_glen") + F.col("r")).cast("long").alias("e")))
-    by = hits.groupBy(*key).agg(F.max("n").cast("long").alias("n_words"), F.count_if(F.col("pos") == -1).alias("copies"), F.collect_set(at).alias("spans"), F.collect_set(F.when(span, F.col("item_id").cast("string"))).alias("ids"))
+    at = F.when(
+        span,
+        F.struct(
+            F.when(whole, F.col("pos")).otherwise(F.col("pos") - F.col("l")).cast("long").alias("s"),
+            F.when(whole, F.col("pos") + F.col("i_glen")).otherwise(F.col("pos") + F.col("i_glen") + F.col("r")).cast("long").alias("e")
+        )
+    )
+    by = hits.groupBy(*key).agg(
+        F.max("n").cast("long").alias("n_words"), F.count_if(F.col("pos") == -1).alias("copies"), F.collect_set(at).alias("spans"),
+        F.collect_set(F.when(span, F.col("item_id").cast("string"))).alias("ids")
+    )
     zero = F.struct(F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("n"))
-    grow = lambda acc, x: F.struct(F.greatest(acc["e"], x["e"]).alias("e"), (acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], acc["e"]))).alias("n"))
+    grow = lambda acc, x: F.struct(
+        F.greatest(acc["e"], x["e"]).alias("e"), (acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], acc["e"]))).alias("n")
+    )
     covered = F.aggregate(F.array_sort("spans"), zero, grow, lambda acc: acc["n"])
     out = by.select(*key, "n_words", covered.alias("n_hit"), F.array_sort("ids").alias("items"), "copies")
     return out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col", "copies")

@@ -238,7 +238,13 @@ def _meetings(centres: np.ndarray, groups: dict[int, tuple[int, float]], reach:
                 for a in range(0, len(row), 4 * ROWS):
                     cut = slice(a, a + 4 * ROWS)
                     m, t, take = mine[cut], theirs[cut], pa.array(row[cut])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, t)), pa.array(np.maximum(m, t)), pa.array((m > t).astype(np.int32)), *(part.column(c).take(take) for c in ("node", "weight", "unit"))], names=["pa", "pb", "side", "node", "weight", "unit"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.minimum(m, t)), pa.array(np.maximum(m, t)), pa.array((m > t).astype(np.int32)),
+                            *(part.column(c).take(take) for c in ("node", "weight", "unit"))
+                        ],
+                        names=["pa", "pb", "side", "node", "weight", "unit"]
+                    )
 
     return run
 
@@ -254,7 +260,11 @@ def _links(nodes: DataFrame, cosine: float) -> DataFrame:
     core = reach / 2 - SLACK
     hashed = nodes.withColumn("hash", F.shiftrightunsigned(F.xxhash64("node"), 33))
     placed = written(hashed.mapInArrow(_into_cells(centres, core), "node long, id long, weight long, unit binary, hash long, grp long, gap double"), "cells")
-    stats = {r["grp"]: r for r in placed.groupBy("grp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.max("gap").alias("radius"), F.min("node").alias("first")).collect()}  # at most 2 x CELLS
+    stats = {
+        r["grp"]: r for r in placed.groupBy("grp").agg(
+            F.count("*").alias("n"), F.sum("weight").alias("w"), F.max("gap").alias("radius"), F.min("node").alias("first")
+        ).collect()
+    }  # at most 2 x CELLS
     cores = [(g, r["w"], r["first"]) for g, r in stats.items() if g % 2]
     links = placed.join(F.broadcast(spark.createDataFrame(cores or [(-1, 0, 0)], "grp long, all long, first long")), "grp")  # at most CELLS rows
     links = links.where(F.col("all") > F.col("weight")).select("node", (F.col("all") - F.col("weight")).alias("links"), F.col("first").alias("peer"))
@@ -275,7 +285,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     units = written(rows.mapInArrow(_units, "vec_id long, unit binary"), "units").withColumn("node", F.xxhash64("unit", F.length("unit")))
-    nodes = written(units.where("unit is not null").groupBy("node", "unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).select("node", "id", "weight", "unit"), "nodes")
+    nodes = written(
+        units.where("unit is not null").groupBy("node", "unit").agg(
+            F.min("vec_id").alias("id"), F.count("*").alias("weight")
+        ).select("node", "id", "weight", "unit"),
+        "nodes"
+    )
     lengths = [r[0] for r in nodes.select(F.length("unit")).distinct().collect()]
     parts = [_links(nodes.where(F.length("unit") == n), cosine) for n in sorted(lengths)]
     spark = vectors.sparkSession
@@ -289,5 +304,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
     label = named.join(ids, "root").join(total, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0).cast("long")) + F.col("weight") - 1).alias("n_links"))
     out = units.select("vec_id", F.when(F.col("unit").isNotNull(), F.col("node")).alias("node")).join(label, "node", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

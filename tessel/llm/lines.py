@@ -40,12 +40,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, site, line_no, h, g, words (0 but for long lines);
     blank lines left out.  A null source is a site of its own; equal rows are
     one."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64("source", F.col("source").isNull()).alias("site"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = docs.select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64("source", F.col("source").isNull()).alias("site"),
+        F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    )
     line = normal(F.col("line"))
     rows = rows.withColumn("line", line).where("line != ''")
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     long = (F.length("line") > 2 * LONG_WORDS) & (words > LONG_WORDS)
-    return rows.select("doc_id", "text_key", "site", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.when(long, words).otherwise(0).alias("words"))
+    return rows.select(
+        "doc_id", "text_key", "site", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"),
+        F.when(long, words).otherwise(0).alias("words")
+    )
 
 
 def _of(lines: DataFrame, keys: DataFrame, broadcast_lines: int) -> DataFrame:
@@ -71,7 +77,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, long_sites: int =
     often = often.where(any_of(lambda n: F.col("count") >= n) & (F.lit(min(min_sites, long_sites) < 2) | (F.col("low") != F.col("high"))))
     often = written(often.select("h", "g", "count"), "often")
     first = F.min(F.struct("doc_id", "text_key", "line_no"))
-    spread = _of(lines, often, broadcast_lines).groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), first.alias("first"), F.max("words").alias("words"), F.count("*").alias("count"))
+    spread = _of(lines, often, broadcast_lines).groupBy("h", "g").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), first.alias("first"), F.max("words").alias("words"),
+        F.count("*").alias("count")
+    )
     spread = written(spread.where(any_of(lambda n: F.col("sites") >= n * (1 - NEAR))), "spread")
     # Near is what may fall on either side of one of its thresholds.
     doubtful = any_of(lambda n: F.col("sites").between(n * (1 - NEAR), n * (1 + NEAR)))
@@ -122,7 +131,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, long_sites: int = L
     parts = F.split(text, "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("leave"), i)), "\n")
     removed = F.when(F.col("leave").isNull(), 0).otherwise(F.size("leave")).cast("long")
-    return both.select("row", F.when(removed > 0, kept).otherwise(text).alias("text"), F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    return both.select(
+        "row", F.when(removed > 0, kept).otherwise(text).alias("text"),
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), removed.alias("n_removed")
+    )
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, long_sites: int = LONG_SITES) -> DataFrame:

@@ -95,7 +95,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node[some] = wordhash.mix(np.add.reduceat(wordhash.mix(h ^ _ODD[0]), starts) + n[some].astype(np.uint64))
                 for k, side in enumerate(sides):
                     side[some] = _half_keys(h, starts, 1 + 2 * T * k - k, T)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("text_key")[i:j], pa.array(n), pa.array(node.view(np.int64), mask=~some), *(_lists(s, np.arange(0, (j - i) * T + 1, T)) for s in sides)], names=["doc_id", "text_key", "n", "node", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id")[i:j], batch.column("text_key")[i:j], pa.array(n), pa.array(node.view(np.int64), mask=~some),
+                    *(_lists(s, np.arange(0, (j - i) * T + 1, T)) for s in sides)
+                ],
+                names=["doc_id", "text_key", "n", "node", "a", "b"]
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,12 @@ def _labels(docs: DataFrame) -> DataFrame:
     component_id."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     sig = written(rows.mapInArrow(_signatures, "doc_id long, text_key long, n long, node long, a array<long>, b array<long>"), "signatures")
-    nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("a").alias("a"), F.min("b").alias("b")), "nodes")
+    nodes = written(
+        sig.where("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("a").alias("a"), F.min("b").alias("b")
+        ),
+        "nodes"
+    )
     tables = F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.struct(F.xxhash64(x, y).alias("key"), (T * i + j).alias("table"))))
     keys = nodes.select("node", F.explode(F.flatten(tables)).alias("k")).select("node", "k.key", "k.table")
     shared = keys.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("pivot")).where("count > 1")
@@ -178,10 +189,16 @@ def _labels(docs: DataFrame) -> DataFrame:
             break
         here = level.join(marks, "node").withColumn("blocks", F.ceil(F.col("count") / BLOCK))
         left = here.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        left = left.select("key", "block", "table", F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("common").alias("c_src"), F.col("comp").alias("c"), F.col("a").alias("a_l"), F.col("b").alias("b_l"), F.col("bins").alias("bins_l"))
+        left = left.select(
+            "key", "block", "table", F.col("node").alias("src"), F.col("n").alias("n_src"), F.col("common").alias("c_src"), F.col("comp").alias("c"),
+            F.col("a").alias("a_l"), F.col("b").alias("b_l"), F.col("bins").alias("bins_l")
+        )
         right = here.where(F.pmod(F.xxhash64("node", F.lit("few")), F.ceil(F.col("count") / FEW)) == 0) if few else here
         right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        right = right.select("key", "block", F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("common").alias("c_dst"), F.col("comp").alias("d"), F.col("a").alias("a_r"), F.col("b").alias("b_r"), F.col("bins").alias("bins_r"))
+        right = right.select(
+            "key", "block", F.col("node").alias("dst"), F.col("n").alias("n_dst"), F.col("common").alias("c_dst"), F.col("comp").alias("d"),
+            F.col("a").alias("a_r"), F.col("b").alias("b_r"), F.col("bins").alias("bins_r")
+        )
         # Two nodes share several tables: the first one makes the pair.
         before = lambda l, r, at: F.array_contains(F.zip_with(F.slice(l, 1, at), F.slice(r, 1, at), lambda x, y: x == y), True)
         first = ~before("a_l", "a_r", F.floor(F.col("table") / T).cast("int")) & ~before("b_l", "b_r", F.pmod("table", F.lit(T)).cast("int"))
@@ -221,7 +238,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     texts = written(_labels(docs).where("comp is not null").groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("copies")).withColumn("rank", rank), "texts")
     judged = with_least(texts, "comp", "rank", most_rows(texts.count()))
-    acts = written(judged.where("rank != m or copies > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), (F.col("rank") == F.col("m")).alias("one")), "acts")
+    acts = written(
+        judged.where("rank != m or copies > 1").select(
+            F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), (F.col("rank") == F.col("m")).alias("one")
+        ),
+        "acts"
+    )
     d = docs.alias("d")
     at = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.gone_id")) & (F.xxhash64(F.col("d.text")) == F.col("g.gone_key"))
     rest = d.join(acts.alias("g"), at, "left_anti")

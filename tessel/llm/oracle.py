@@ -27,7 +27,8 @@ _KNOWN = ", ".join(f"('{norm}', '{name}')" for norm, name in licenses.known().it
 _RULES = ", ".join(f"CASE WHEN contains(s, '>{'>'.join(ids)}>') THEN '{name}' END" for name, _, ids in licenses.RULES)
 
 OP2 = rf"""
-WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS parts FROM documents),
+WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS parts
+FROM documents),
 e AS (SELECT doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS no FROM p),
 f AS (SELECT doc_id, no, id FROM e JOIN (VALUES {_KNOWN}) k(norm, id) ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = norm),
 g AS (SELECT *, no - lag(no) OVER (PARTITION BY doc_id ORDER BY no) AS gap FROM f),
@@ -78,7 +79,8 @@ WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, length({_escaped('role')}) + length({_escaped('text')}) AS n FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = '{chat.TRAINED_ROLE}'), '') AS loss, sum(n + {len(chat.TURN) + len(chat.END) + 2}) AS size FROM t GROUP BY conv_id)
-SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM g
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256,
+CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM g
 """
 
 OP10 = rf"""

@@ -390,7 +390,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             row = np.searchsorted(plan[:, 0], n << 40 | rank, "right") - 1
             key, sequence, each, at = plan[row].T
             turn = rank - (key & (1 << 40) - 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence + turn // each), pa.array(at + turn % each * n)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(sequence + turn // each), pa.array(at + turn % each * n)],
+                names=[*names, "sequence_id", "offset"]
+            )
 
     ranked = salted.withColumn(rank_name, F.row_number().over(Window.partitionBy("length", salt_name).orderBy("doc_id", "piece", "ids_crc32")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)

@@ -144,7 +144,12 @@ def fit(rows: DataFrame) -> Model:
     regression, the rest calibrate it.  Without both, every score is the mean."""
     n = rows.count()
     dice = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = written(rows.where(dice < F.lit(min(1.0, TRAIN_ROWS / max(1, n)))).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))).repartition(PARTS, "doc_id"), "sample").coalesce(PARTS)
+    sample = written(
+        rows.where(dice < F.lit(min(1.0, TRAIN_ROWS / max(1, n)))).withColumn(
+            "part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))
+        ).repartition(PARTS, "doc_id"),
+        "sample"
+    ).coalesce(PARTS)
     learn = sample.where("part > 0")
     sums = _summed(learn, None)
     if sums is None:

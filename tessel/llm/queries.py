@@ -23,7 +23,10 @@ def tokenizer_path() -> str:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated")
+    )
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("long")
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans")
+    )
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +76,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(rows, (conv, len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted))):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(rows, kinds)],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        )
 
 
 #: A conversation whose texts hold a template's control strings.
@@ -88,4 +97,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_embedding_pairs, op4_quality, op5_line_dedup, op6_packing, op7_secrets, op8_toxicity, op9_chat, op10_near_duplicates)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (
+        op1_decontaminate, op2_licenses, op3_embedding_pairs, op4_quality, op5_line_dedup, op6_packing, op7_secrets, op8_toxicity, op9_chat,
+        op10_near_duplicates
+    )
+}

@@ -185,7 +185,12 @@ def battery(run: str, writing: dict[str, tuple[np.ndarray, np.ndarray]] | None =
     return math.log10(p)
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.string())), ("r_start", pa.list_(pa.int32())), ("r_end", pa.list_(pa.int32())), ("r_class", pa.list_(pa.int32())), ("r_bin", pa.list_(pa.int32()))])
+SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("base", pa.list_(pa.string())), ("r_start", pa.list_(pa.int32())), ("r_end", pa.list_(pa.int32())),
+        ("r_class", pa.list_(pa.int32())), ("r_bin", pa.list_(pa.int32()))
+    ]
+)
 
 
 def _scan(writing: dict[str, tuple[np.ndarray, np.ndarray]]):
@@ -230,7 +235,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     rows give repeated results.  No rows give no rows.  Other columns are
     ignored.  The corpus is scanned once, its spans are kept in a table.
     """
-    scanned = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(ordinary()), "doc_id long, base array<string>, r_start array<int>, r_end array<int>, r_class array<int>, r_bin array<int>"), "secrets")
+    scanned = written(
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+            _scan(ordinary()), "doc_id long, base array<string>, r_start array<int>, r_end array<int>, r_class array<int>, r_bin array<int>"
+        ),
+        "secrets"
+    )
     least = F.array(*[F.lit(c) for c in cut_offs(scanned)])
     runs = F.filter(F.arrays_zip("r_start", "r_end", "r_class", "r_bin"), lambda r: r["r_bin"] >= least[r["r_class"]])
     random = F.transform(runs, lambda r: F.concat(F.lit("random:"), r["r_start"].cast("string"), F.lit(":"), r["r_end"].cast("string")))

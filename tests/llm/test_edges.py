@@ -95,13 +95,19 @@ def test_pack_keeps_columns(spark, plain):
 
 def test_vectors(spark):
     v = [1.0, 0.5] * 8
-    rows = [(1, v, 0), (1, v, 0), (None, v, 0), (None, None, 0), (None, [], 0), (2, [0.0] * 16, None), (3, [1e-300] * 16, 1), (4, [1e300] * 16, 1), (5, [float("inf")] * 16, 1), (6, [None] * 16, 1), (7, [1.0], 1), (8, [2.0], 1)]
+    rows = [
+        (1, v, 0), (1, v, 0), (None, v, 0), (None, None, 0), (None, [], 0), (2, [0.0] * 16, None), (3, [1e-300] * 16, 1), (4, [1e300] * 16, 1),
+        (5, [float("inf")] * 16, 1), (6, [None] * 16, 1), (7, [1.0], 1), (8, [2.0], 1)
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     wide = df.select("*", *[F.lit(0).alias(c) for c in ("unit", "node", "weight", "id", "grp", "gap", "hash", "side", "pa", "pb", "root", "links", "peer")])
     got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_pairs.near_vectors(wide).collect()]
     same = [(1, 4, 1, True), (1, 4, 1, True), (None, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False)]
     assert abs(sum(a * b for a, b in zip(v, [1.0] * 16)) / (sum(a * a for a in v) ** 0.5 * 4) - 0.9487) < 1e-3
-    assert sorted(got, key=str) == sorted([*same, (None, 0, None, True), (None, 0, None, True), (2, 0, 2, True), (5, 0, 5, True), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False)], key=str)
+    assert sorted(got, key=str) == sorted(
+        [*same, (None, 0, None, True), (None, 0, None, True), (2, 0, 2, True), (5, 0, 5, True), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False)],
+        key=str
+    )
     assert embedding_pairs.near_vectors(wide.limit(0)).count() == 0
 
 

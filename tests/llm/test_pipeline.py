@@ -38,7 +38,9 @@ def fixture(spark, where):
     near = [[2000 + k, d[1].replace(d[1].split()[7], "zzz", 1), "s2"] for k, d in enumerate(clean[56:60])]
     rows = [*docs, *copy, *near, [3000, None, None], [3001, "", "s1"], [3002, "\n".join(own(3000) for _ in range(4)), "s3"]]
     at = f"{where}/fixture"
-    spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(
+        [(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, bench), (2, own(5))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at, rows, bench

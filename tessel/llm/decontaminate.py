@@ -19,7 +19,7 @@ from tessel.storage import written
 K, WINDOW = 5, 9
 SPAN = K + WINDOW - 1
 REACH = SPAN - K
-#: Fingerprint rows of the benchmark (each under 1 KB) up to which they are broadcast.
+#: Fingerprint rows of the benchmark (each under 1 KB) and item ids in them up to which they are broadcast.
 BROADCAST_ROWS = 60_000
 POS_BITS = 30
 POS_MASK = (1 << POS_BITS) - 1
@@ -63,7 +63,7 @@ def _around(pos: Column, glen: Column) -> tuple[Column, Column, Column]:
 
 
 def benchmark_fingerprints(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Fingerprints of the items with the words around them, and the lengths
+    """Fingerprints with the words around them and the items that have both, and the lengths
     (at most SPAN - 1 of them) of the items shorter than a window."""
     items = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
     short = [r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().orderBy("n").collect()]
@@ -72,13 +72,14 @@ def benchmark_fingerprints(items: DataFrame) -> tuple[DataFrame, list[int]]:
     one = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(n, F.col("h")).alias("fp"), n.alias("glen")))
     df = df.select("item_id", "words", F.explode(F.when(n < SPAN, one).otherwise(F.col("fps"))).alias("f"))
     left, gram, right = _around(F.col("f.pos"), F.col("f.glen"))
-    return written(
-        df.select(
-            "item_id", F.col("f.fp").alias("fp"), F.col("f.glen").alias("i_glen"), F.least(F.size("words"), F.lit(SPAN)).alias("need"),
-            left.alias("i_left"), gram.alias("i_gram"), right.alias("i_right")
-        ).distinct(),
-        "benchmark"
-    ), short
+    need = F.least(F.size("words"), F.lit(SPAN))
+    rows = df.select(
+        "item_id", F.col("f.fp").alias("fp"), F.col("f.glen").alias("i_glen"), need.alias("need"), left.alias("i_left"), gram.alias("i_gram"),
+        right.alias("i_right")
+    )
+    # A passage that many items share is one row, whatever their number: it makes one hit, not one an item.
+    ids = F.collect_set(F.col("item_id").cast("string")).alias("item_ids")
+    return written(rows.groupBy("fp", "i_glen", "need", "i_left", "i_gram", "i_right").agg(ids), "benchmark"), short
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -101,7 +102,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     alone = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("fp"), F.lit(0).alias("glen")))
     fps = F.concat(alone, F.col("fps"), *[_whole(n) for n in short])
     key = ["doc_id", "text_key", "no_text"]
-    if built.count() <= broadcast_rows:
+    size = built.agg(F.count("*") + F.coalesce(F.sum(F.size("item_ids")), F.lit(0))).first()[0]
+    if size <= broadcast_rows:
         hits = df.select(*key, "words", F.explode(fps).alias("f")).select(*key, "words", "f.*").join(F.broadcast(built), "fp", "left")
     else:
         # A benchmark too large to broadcast: narrow rows meet on the fingerprint, then their documents' words.
@@ -115,7 +117,7 @@ def contaminated_words(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     left, gram, right = _around(F.col("pos"), F.col("i_glen"))
     real = (F.col("pos") >= 0) & (gram == F.col("i_gram"))
     hits = hits.select(
-        *key, F.size("words").alias("n"), "pos", "item_id", "need", "i_glen", F.when(real, _same(left, F.col("i_left"))).alias("l"),
+        *key, F.size("words").alias("n"), "pos", "item_ids", "need", "i_glen", F.when(real, _same(left, F.col("i_left"))).alias("l"),
         F.when(real, _same(right, F.col("i_right"))).alias("r")
     )
     span = (F.col("pos") >= 0) & (F.col("l") + F.col("i_glen") + F.col("r") >= F.col("need"))
@@ -129,14 +131,14 @@ def contaminated_words(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     )
     by = hits.groupBy(*key).agg(
         F.max("n").cast("long").alias("n_words"), F.count_if(F.col("pos") == -1).alias("copies"), F.collect_set(at).alias("spans"),
-        F.collect_set(F.when(span, F.col("item_id").cast("string"))).alias("ids")
+        F.collect_set(F.when(span, F.col("item_ids"))).alias("ids")
     )
     zero = F.struct(F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("n"))
     grow = lambda acc, x: F.struct(
         F.greatest(acc["e"], x["e"]).alias("e"), (acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], acc["e"]))).alias("n")
     )
     covered = F.aggregate(F.array_sort("spans"), zero, grow, lambda acc: acc["n"])
-    out = by.select(*key, "n_words", covered.alias("n_hit"), F.array_sort("ids").alias("items"), "copies")
+    out = by.select(*key, "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("ids"))).alias("items"), "copies")
     return out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col", "copies")
 
 

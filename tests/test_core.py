@@ -13,7 +13,7 @@ from tessel.functions import text as t
 from tessel.operators import components, conform, resolve, serve
 from tessel.operators.components import connected_components
 from tessel.plans import pipeline, warehouse
-from tessel.sources.feeds import repaired
+from tessel.sources.feeds import read_feed, repaired
 from tessel.streaming import arrivals
 
 
@@ -76,6 +76,20 @@ def test_encoding(spark):
             assert want is None or tuple(repaired(line, mode).first()) == want, (text, mode)
 
 
+@pytest.mark.parametrize("name", ["acq_rheinland", "acq_northwind", "loyalty"])
+def test_row_numbers_after_a_file_without_records(spark, tmp_path, name):
+    contract = CONTRACTS[name]
+    shown = {v: k for k, v in contract.rename.items()}
+    line = lambda words: contract.separator.join(words) + "\n"
+    head = line(shown.get(c, c) for c in contract.columns)
+    record = lambda k: line(f"{k}{i}" for i in range(len(contract.columns)))
+    for i, text in enumerate((head, head + record("a") + record("b"), head, head + record("c"))):
+        (tmp_path / f"part-{i}.csv").write_text(text)
+    rows, _ = read_feed(spark, contract, str(tmp_path))
+    found = rows.select(contract.columns[0], "_source_row").orderBy("_source_row").collect()
+    assert [tuple(r) for r in found] == [("a0", 2), ("b0", 3), ("c0", 4)]
+
+
 @pytest.mark.parametrize("small", [components.SMALL, 0])
 def test_components(spark, monkeypatch, small):
     monkeypatch.setattr(components, "SMALL", small)

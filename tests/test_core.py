@@ -2,15 +2,17 @@
 
 import datetime
 import json
+import random
 import unicodedata
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.contracts import CONTRACTS, Settings
 from tessel.functions import text as t
-from tessel.operators import components, conform, resolve, serve
+from tessel.operators import components, conform, pairs, resolve, serve
 from tessel.operators.components import connected_components
 from tessel.plans import pipeline, warehouse
 from tessel.sources.feeds import read_feed, repaired
@@ -113,6 +115,37 @@ def test_score_boosts(spark):
     assert [round(r[0], 2) for r in df.select(score).collect()] == [0.98, 0.92]
 
 
+def test_ratios_of_all_strings():
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choice("abü") for _ in range(pick.choice((1, 2, 4, 80))))
+    xs, ys = ([" ".join(word() for _ in range(pick.randrange(4))) for _ in range(40)] for _ in "xy")
+    for left, right in ((xs, ys), (xs, xs)):
+        assert pairs.ratios(left, right).tolist() == [[t._token_set(x, y) for y in right] for x in left]
+
+
+def test_tiles_hold_every_pair(spark, monkeypatch):
+    """Small tiles against the join of the block with itself."""
+    monkeypatch.setattr(pairs, "TILE", 8)
+    pick = random.Random(6)
+    some = lambda *values: pick.choice((None, *values))
+    rows = [
+        (
+            f"k{i}", f"k{i - i % 3}", some("ann lee", "anna lee", "bo"), pick.choice(("Lee", "lee", "Bo")), some("1 Main", "2 main st", ""), some("1", "2", ""), some("+1", "+2", ""),
+            some("a@x.y", "b@x.y", "c@z.y"), some("NY"), datetime.date(1980 + pick.randrange(2), 1, 1 + pick.randrange(2))
+        ) for i in range(90)
+    ]
+    names = "key string, component string, full_name_normalized string, last_name string, street string, postal_code string, phone_e164 string, email_normalized string, region string, birth_date date"
+    wide = resolve.in_blocks(spark.createDataFrame(rows, names))
+    f = resolve.features()
+    want = resolve.blocked_pairs(wide, "key", resolve.BLOCKS, "component").select("l.key", "r.key", *f.values(), resolve.pair_score(f, Settings()))
+
+    def show(strip):
+        return pa.RecordBatch.from_arrays([*strip.keys(), *[pa.array(strip.features[k]) for k in pairs.FEATURES], pa.array(strip.score)], names=list("lrabcdes"))
+
+    found = pairs.scored(wide, "key", resolve.BLOCKS, "component", Settings(), show, "l string, r string, a double, b double, c double, d double, e double, s double")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_pipeline(spark, tmp_path):
     (tmp_path / "crm.csv").write_text(
         "﻿" + ",".join(

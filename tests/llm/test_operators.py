@@ -457,6 +457,57 @@ def test_held_out_accuracy(spark, operator, label, least):
     assert said >= least
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Every word of abuse is in three of 13,000 toxic documents that are learned
+    from, and in one held out; a sample of them lacks many of the words.  Other
+    documents have a word of their own, so an unknown word says nothing."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    plain, abuse = [word(6) for _ in range(300)], sorted({word(9) for _ in range(4400)})
+    ids = {out: [i for i in range(40_000) if (zlib.crc32(str(i).encode()) % 5 == 0) == out] for out in (True, False)}
+    toxic = {i: w for w, i in zip(abuse, ids[True])} | {i: abuse[n % len(abuse)] for n, i in enumerate(ids[False][: 3 * len(abuse)])}
+    rows = [(i, " ".join([*rng.choice(plain, 5), toxic.get(i) or word(9)]), int(i in toxic)) for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    monkeypatch.setattr(toxicity, "REPLICA_BYTES", 500_000)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 100_000)
+    out = toxicity.toxicity(docs.drop("toxic"), docs.drop("text")).join(docs, "doc_id").where("held_out")
+    told = {r["toxic"]: r["said"] for r in out.groupBy("toxic").agg(F.avg("predicted").alias("said")).collect()}
+    assert told[1] >= 0.95 and told[0] <= 0.05
+
+
+def test_toxicity_joins_agree(spark, monkeypatch):
+    """Labelled ids that are broadcast or shuffled give the same model, and so do
+    documents in another order."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    monkeypatch.setattr(toxicity, "REPLICA_BYTES", 400_000)
+    one = toxicity.fit_on_rest(read("documents"), read("labels"))
+    monkeypatch.setattr(toxicity, "BROADCAST", 0)
+    two = toxicity.fit_on_rest(read("documents").repartition(7), read("labels"))
+    for a, b in [(one.words, two.words), *zip(one.filters, two.filters), (one.weight, two.weight), (one.threshold, two.threshold)]:
+        assert np.array_equal(a, b)
+    assert one.bias == two.bias and one.words.any()
+
+
+def test_toxicity_cuts(spark):
+    """The cut of every part is that of trying all gaps."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for part in range(40):
+        n = int(rng.integers(2, 60))
+        spread = [0.01, 0.3, 3, 200][part % 4]
+        toxic = np.append([0, 1], rng.integers(0, 2, n))
+        logits = np.round(rng.normal(0, spread, n + 2) + toxic * spread * (part % 3), 3 if part % 2 else 1)
+        rows += [(part, float(x), int(y)) for x, y in zip(logits, toxic)]
+    got = toxicity.cuts(spark.createDataFrame(rows, "part int, logit double, toxic int").repartition(5))
+    for part in range(40):
+        own = [(x, y) for p, x, y in rows if p == part]
+        x = sorted({a for a, _ in own})
+        gaps = [x[0] - 1, *((a + b) / 2 for a, b in zip(x, x[1:])), x[-1] + 1]
+        errors = [sum((a >= g) != bool(y) for a, y in own) for g in gaps]
+        best = max(i for i, e in enumerate(errors) if e == min(errors))
+        assert got[part] == pytest.approx(gaps[best], abs=1e-9), part
+
+
 def test_pipeline(spark):
     """run() holds what each stage promises, on its own input."""
     import corpus_pipeline

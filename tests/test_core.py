@@ -248,6 +248,26 @@ def test_parity(spark):
         assert not said.startswith("FAIL"), (name, said)
 
 
+@pytest.fixture
+def three_of_each(spark, monkeypatch):
+    """Resolved records of which every two of a source wait for a steward."""
+    from tessel.plans import catalog_feeds
+
+    keys = ["pos::1:2", "pos::2:3", "pos::31:4", "acq_northwind::NW1", "acq_northwind::NW22", "acq_northwind::NW23"]
+    rows = [(k, k, "ann lee", "Lee", "1 Main", k[:3], "12180", None, None, datetime.date(1980, 1, 2)) for k in keys]
+    columns = "key string, component string, full_name_normalized string, last_name string, street string, region string, postal_code string, phone_e164 string, email_normalized string, birth_date date"
+    records = spark.createDataFrame(rows, columns)
+    monkeypatch.setattr(catalog_feeds, "_resolved", lambda spark, d: (records,))
+    return catalog_feeds
+
+
+def test_open_reviews_of_all_sources(spark, three_of_each):
+    """Every review that has no decision is open, those of POS records too."""
+    pos = {("pos::1", "pos::2"), ("pos::1", "pos::31"), ("pos::2", "pos::31")}
+    found = three_of_each.open_reviews_anti_audit(spark, "").collect()
+    assert sorted((r["left_key"], r["right_key"]) for r in found) == sorted(pos | {("acq_northwind::NW22", "acq_northwind::NW23")})
+
+
 def test_stream(spark, tmp_path):
     """Files that arrive are conformed batch by batch; late copies are dropped."""
     columns = ", ".join(f"{c} string" for c in CONTRACTS["loyalty"].columns)

@@ -1,17 +1,19 @@
 """Normalizers, components, the pipeline over synthetic feeds, tool envelopes."""
 
+import dataclasses
 import datetime
 import json
 import random
 import unicodedata
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.contracts import CONTRACTS, Settings
-from tessel.functions import text as t
+from tessel.functions import digests, text as t
 from tessel.operators import components, conform, pairs, resolve, serve
 from tessel.operators.components import connected_components
 from tessel.plans import pipeline, warehouse
@@ -123,6 +125,38 @@ def test_ratios_of_all_strings():
         assert pairs.ratios(left, right).tolist() == [[t._token_set(x, y) for y in right] for x in left]
 
 
+def test_uuids_of_pairs():
+    """Names of one block to five, of few lengths and of many, as the library of
+    the language has them."""
+    rng = np.random.default_rng(5)
+    alike = [f"acq_northwind::NW{k}" for k in rng.integers(1, 999_999, 500)] + ["pos::1:2", "ä::é", ""]
+    for keys in (alike, ["x" * n + str(n) for n in range(150)], [f"{k:0{n}}" for n in (40, 200) for k in range(99)]):
+        i, j = rng.integers(0, len(keys), (2, 3000))
+        there = rng.random(3000) < 0.7
+        made = digests.PairUuids([f"review:{k}|".encode() for k in keys], [k.encode() for k in keys])
+        found = digests.texts(made.of(i[there], j[there]), there).to_pylist()
+        assert found == [str(uuid.uuid5(uuid.NAMESPACE_URL, f"review:{keys[a]}|{keys[b]}")) if t else None for a, b, t in zip(i, j, there)]
+
+
+def test_reviews_take_one_pass(spark, three_of_each, monkeypatch):
+    """Where no score can merge records without an equal phone or e-mail, pairs
+    are not scored for merges; where one can, they are.  Ids are made with the pairs."""
+    customers = three_of_each._resolved(spark, "")[0].drop("key", "component")
+    customers = customers.withColumns({"_source": F.lit("crm"), "_source_id": F.monotonically_increasing_id().cast("string")})
+    passes = []
+    scored = pairs.scored
+    monkeypatch.setattr(pairs, "scored", lambda *args: passes.append(args) or scored(*args))
+    settings = three_of_each.SETTINGS
+    found = resolve.resolve(customers, None, settings)[1]
+    assert len(passes) == 1 and found.count() == 6
+    assert resolve.resolve(customers, None, dataclasses.replace(settings, auto_merge=0.5))[0].select("component").distinct().count() == 2
+    assert len(passes) == 3
+    rows = [r for r in three_of_each.review_pairs(spark, "").collect()]
+    want = {None if r["left_key"].startswith("pos") else str(uuid.uuid5(uuid.NAMESPACE_URL, f"review:{r['left_key']}|{r['right_key']}")) for r in rows}
+    assert len(rows) == 6 and {r["review_id"] for r in rows} == want
+    assert "sha" not in three_of_each.review_pairs(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tiles_hold_every_pair(spark, monkeypatch):
     """Small tiles against the join of the block with itself."""
     monkeypatch.setattr(pairs, "TILE", 8)

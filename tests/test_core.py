@@ -157,6 +157,33 @@ def test_reviews_take_one_pass(spark, three_of_each, monkeypatch):
     assert "sha" not in three_of_each.review_pairs(spark, "")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_decided_pairs_leave_the_tiles(spark, monkeypatch):
+    """As the anti join has it: in one tile and in several, whatever else is decided."""
+    rng = random.Random(7)
+    keys = [f"crm::C{k}" for k in rng.sample(range(999), 60)]
+    rows = [(k, k, "ann lee", "Lee", "1 Main", "NY", "1", None, None, datetime.date(1980 + i % 2, 1, 2)) for i, k in enumerate(keys)]
+    columns = "key string, component string, full_name_normalized string, last_name string, street string, region string, postal_code string, phone_e164 string, email_normalized string, birth_date date"
+    records = spark.createDataFrame(rows, columns)
+    said = [tuple(rng.sample(keys, 2)) for _ in range(900)] + [("crm::no", keys[0]), (keys[0], "crm::zz")]  # either way round, across blocks, unknown
+    audit = spark.createDataFrame([("review_decision", l, r) for l, r in said], "event_type string, customer_id string, other_id string")
+    lists = spark.createDataFrame([(l, [r]) for l, r in said[:500]] + [(l, [r, "crm::y"]) for l, r in said[400:]], "left_key string, right_keys array<string>")
+    settings = Settings(review=0.3)
+    shown = lambda strip: pa.RecordBatch.from_pydict(dict(zip(("left_key", "right_key"), strip.keys())))
+    every = resolve.reviews(records, settings, features=())
+    want = sorted(tuple(r) for r in serve.open_reviews(every, audit).select("left_key", "right_key").collect())
+    assert 0 < len(want) < every.count()
+    for tile in (1024, 7):
+        monkeypatch.setattr(pairs, "TILE", tile)
+        found = pairs.scored(resolve.in_blocks(records), "key", resolve.BLOCKS, "component", settings, shown, "left_key string, right_key string", apart=lists).collect()
+        assert sorted(tuple(r) for r in found) == want
+
+
+def test_open_reviews_are_not_shuffled(spark, three_of_each):
+    """The reviews meet the decisions where they are made."""
+    plan = three_of_each.open_reviews_anti_audit(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("FlatMapGroupsInArrow") == 2
+
+
 def test_tiles_hold_every_pair(spark, monkeypatch):
     """Small tiles against the join of the block with itself."""
     monkeypatch.setattr(pairs, "TILE", 8)
